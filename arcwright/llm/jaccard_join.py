@@ -107,6 +107,10 @@ def _share(n):
     return np.maximum(1, n // 10)
 
 
+def _join(t: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in t.column(name).to_pylist() if x is not None)])
+
+
 def shared_prefixes(docs: DataFrame, n: int, threshold: int) -> DataFrame:
     """(doc_id, n_shingles, linked) per document; linked is false only where no link is possible.
 
@@ -141,26 +145,34 @@ def shared_prefixes(docs: DataFrame, n: int, threshold: int) -> DataFrame:
             rows += [(k, hashes[a:b].astype(np.uint32).tobytes(), sender[a:b].tobytes(), None, None, None) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 5])], names=["bucket", "hashes", "senders", "ids", "sizes", "counts"])
 
+    join = _join
+
     def meet(t: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in t.column(name).to_pylist() if x is not None)])
-        hashes, senders = join("hashes", np.uint32), join("senders", np.int64)
+        hashes, senders = join(t, "hashes", np.uint32), join(t, "senders", np.int64)
         order = np.argsort(hashes, kind="stable")
         hashes, senders = hashes[order], senders[order]
         same = hashes[1:] == hashes[:-1]
         many = np.r_[False, same] | np.r_[same, False] if len(hashes) else np.zeros(0, bool)
         met, times = np.unique(senders[many & (senders >= 0)], return_counts=True)
-        ids = join("ids", np.int64)
-        return pa.table(
-            {
-                "doc_id": np.r_[ids, met],
-                "size": pa.array(np.r_[join("sizes", np.int64), np.zeros(len(met), np.int64)], mask=np.r_[np.zeros(len(ids), bool), np.ones(len(met), bool)]),
-                "met": np.r_[join("counts", np.int64), times],
-            }
-        )
+        ids = join(t, "ids", np.int64)
+        # answers go to the documents' own buckets, packed like the questions
+        ids, sizes, counts = np.r_[ids, met], np.r_[join(t, "sizes", np.int64), np.full(len(met), -1)], np.r_[join(t, "counts", np.int64), times]
+        to = (common.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        ids, sizes, counts, ends = ids[order], sizes[order], counts[order], np.searchsorted(to[order], np.arange(buckets + 1))
+        rows = [(k, ids[a:b].tobytes(), sizes[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate([pa.int32(), *[pa.binary()] * 3])], names=["home", "ids", "sizes", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        ids, at = np.unique(join(t, "ids", np.int64), return_inverse=True)
+        sizes = np.full(len(ids), -1)
+        np.maximum.at(sizes, at, join(t, "sizes", np.int64))
+        met = np.bincount(at, join(t, "counts", np.int64), minlength=len(ids)).astype(np.int64)
+        return pa.table({"doc_id": ids, "n_shingles": sizes, "met": met})
 
     packed = docs.select("doc_id", "text").mapInArrow(pack, "bucket int, hashes binary, senders binary, ids binary, sizes binary, counts binary")
-    parts = packed.groupBy("bucket").applyInArrow(meet, "doc_id long, size long, met long")
-    every = parts.groupBy("doc_id").agg(F.max("size").alias("n_shingles"), F.sum("met").alias("met"))
+    parts = packed.groupBy("bucket").applyInArrow(meet, "home int, ids binary, sizes binary, counts binary")
+    every = parts.groupBy("home").applyInArrow(add, "doc_id long, n_shingles long, met long")
     least = F.floor(F.floor((threshold * F.col("n_shingles") + 99) / 100) / 10)
     return every.select("doc_id", "n_shingles", ((F.col("n_shingles") > 0) & (F.col("met") >= F.greatest(F.lit(1), least))).alias("linked"))
 
