@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -144,65 +145,92 @@ class Encoder:
     """
 
     def __init__(self, path: str, limit: int = 800_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.limit = limit
+        # the same model, given pieces that are cut and written in its alphabet already
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.encode_special_tokens = True
+        self.pieces.pre_tokenizer = pre_tokenizers.Split(_ALPHABET[10], "isolated")
+        self.alphabet = dict(enumerate(_ALPHABET))
+        (self.line_end,) = self._encode(["\n"])[0]
         self._clear()
 
     def _clear(self):
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)
-        self.used = 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]):
-        ids = self._encode(chunks)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lengths.sum())
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]):
+        """Encodes distinct pieces that have no number yet.
+
+        Their bytes are written in the vocabulary's alphabet, one text for all, with a character between them that
+        no piece contains; the library's model then encodes them without cutting them once more.
+        """
+        text = "\n".join(new).encode().decode("latin-1").translate(self.alphabet)
+        flat = np.asarray(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        between = flat == self.line_end
+        lengths = np.diff(np.r_[-1, np.flatnonzero(between), len(flat)]) - 1
+        flat = flat[~between]
+        self._note(new, flat, lengths)
+
+    def _note(self, new: list[str], flat: np.ndarray, lengths: np.ndarray):
         n = len(self.known)
-        while self.used + total > len(self.flat):
+        used = int(self.ends[n])
+        while used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(ids) + 1 > len(self.ends):
+        while n + len(new) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
-        self.ends[n + 1 : n + 1 + len(ids)] = self.used + np.cumsum(lengths)
-        self.used += total
-        self.known.update(zip(chunks, range(n, n + len(ids))))
+        self.flat[used : used + len(flat)] = flat
+        self.ends[n + 1 : n + 1 + len(new)] = used + np.cumsum(lengths)
+        self.known.update(zip(new, range(n, n + len(new))))
+
+    def _number(self, pieces: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys([pieces[i] for i in missing]))
+            odd = [p for p in new if "\n" in p]
+            if odd:
+                ids = self._encode(odd)
+                self._note(odd, np.concatenate([np.asarray(x, np.uint32) for x in ids]), np.array([len(x) for x in ids]))
+                new = [p for p in new if "\n" not in p]
+            if new:
+                self._learn(new)
+            at[missing] = [self.known[pieces[i]] for i in missing]
+        return at
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         plain, pieces, counts = [], [], []
+        if len(self.known) > self.limit:
+            self._clear()
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.zeros(0, np.uint32)
-                continue
-            if _UNSURE.search(text):
+            elif not _sure(text):
                 out[i] = np.asarray(self._encode([text])[0], np.uint32)
-                continue
-            chunks = _PIECES.findall(text)
-            plain.append(i)
-            pieces += chunks
-            counts.append(len(chunks))
+            else:
+                cut_ = (_PIECES_ASCII if text.isascii() else _PIECES).findall(text)
+                plain.append(i)
+                pieces += cut_
+                counts.append(len(cut_))
         if not plain:
             return out
-        if len(self.known) > self.limit:
-            self._clear()
-        at = list(map(self.known.get, pieces))
-        if None in at:
-            self._learn(list(dict.fromkeys(p for p, k in zip(pieces, at) if k is None)))
-            at = list(map(self.known.__getitem__, pieces))
-        at = np.array(at, np.int64)
+        at = self._number(pieces)
         begin = self.ends[at]
         length = self.ends[at + 1] - begin
         stop = np.cumsum(length)
-        flat = self.flat[np.repeat(begin - (stop - length), length) + np.arange(stop[-1])]
+        begin -= stop
+        begin += length
+        flat = self.flat[np.repeat(begin, length) + np.arange(stop[-1])]
         ends = stop[np.cumsum(counts) - 1]
         for i, a, b in zip(plain, np.concatenate([[0], ends[:-1]]), ends):
             out[i] = flat[a:b]
@@ -210,9 +238,25 @@ class Encoder:
 
 
 # The vocabulary's splitting pattern, for the characters that _UNSURE leaves.
-_PIECES = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_CUT = r" ?[{0}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{0}0-9]+|\s+(?!\S)|\s+"
+_PIECES = re.compile(_CUT.format("A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"))
+_PIECES_ASCII = re.compile(_CUT.format("A-Za-z"), re.ASCII)
+# The characters a byte-level vocabulary writes bytes with: visible ones stand for themselves, the others follow from U+0100.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = [chr(b if b in _SHOWN else 256 + len({*range(b)} - _SHOWN)) for b in range(256)]
 _UNSURE = re.compile("[^\\n\\r\\t\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
 
+_PLAIN = np.zeros(128, bool)
+_PLAIN[32:127] = True
+_PLAIN[[9, 10, 13]] = True
+
+
+def _sure(text: str) -> bool:
+    if text.isascii():
+        return bool(_PLAIN[np.frombuffer(text.encode(), np.uint8)].all())
+    return not _UNSURE.search(text)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
