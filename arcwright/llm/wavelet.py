@@ -32,6 +32,8 @@ MAGIC = b"WMT1"
 END = 0
 _BLOCK = 512
 _LEVEL = 1
+#: Tokens worked through at a time, so that they stay in a core's cache.
+_RUN = 1 << 17
 
 
 def _put(out: list[bytes], raw: bytes) -> None:
@@ -49,12 +51,19 @@ def encode(tokens: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
     x = tokens.astype(np.uint16 if planes <= 16 else np.uint32)
     zeros, bits = [], []
     for p in range(planes - 1, -1, -1):
-        one = (x >> p) & 1 == 1
+        one = (x & x.dtype.type(1 << p)) != 0
         raw = np.packbits(one).tobytes()
         bits.append(raw + bytes(-len(raw) % (_BLOCK // 8)))
-        low = x[~one]
-        zeros.append(len(low))
-        x = np.concatenate([low, x[one]])
+        low = 0
+        high = z = n - int(np.count_nonzero(one))
+        zeros.append(z)
+        y = np.empty_like(x)
+        for i in range(0, n, _RUN):
+            part, own = x[i : i + _RUN], one[i : i + _RUN]
+            a, b = part[np.flatnonzero(~own)], part[np.flatnonzero(own)]
+            y[low : low + len(a)], y[high : high + len(b)] = a, b
+            low, high = low + len(a), high + len(b)
+        x = y
     out = [MAGIC, struct.pack("<IQQ", planes, n, len(doc_ids))]
     _put(out, doc_ids.astype("<i8").tobytes())
     _put(out, ends.astype("<u8").tobytes())
@@ -140,9 +149,12 @@ class WaveletMatrix:
         for p in range(self.planes - 1, -1, -1):
             one = np.unpackbits(self.bits[p], count=self.n).view(bool)
             before = np.empty_like(x)
-            z = int(self.zeros[p])
-            before[~one] = x[:z]
-            before[one] = x[z:] | x.dtype.type(1 << (self.planes - 1 - p))
+            low, high, set_ = 0, int(self.zeros[p]), x.dtype.type(1 << (self.planes - 1 - p))
+            for i in range(0, self.n, _RUN):
+                part, own = before[i : i + _RUN], one[i : i + _RUN]
+                a, b = np.flatnonzero(~own), np.flatnonzero(own)
+                part[a], part[b] = x[low : low + len(a)], x[high : high + len(b)] | set_
+                low, high = low + len(a), high + len(b)
             x = before
         return x
 
