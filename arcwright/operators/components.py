@@ -37,3 +37,29 @@ def min_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = after
     roots = e.select(F.col("v")).distinct().join(e.select(F.col("u").alias("v")), "v", "left_anti")
     return e.select(F.col("u").alias("v"), F.col("v").alias("component")).union(roots.select("v", F.col("v").alias("component")))
+
+
+def components(g) -> DataFrame:
+    """(v, component) of all vertices, numbered 1, 2, ... by size, largest first, then by smallest vertex; weak where directed."""
+    from arcwright.plans.order import numbered
+
+    low = labels(g)
+    sizes = low.groupBy("component").agg(F.count("*").alias("size"))
+    rank = numbered(sizes, [F.desc("size"), F.col("component")], "number").select("component", "number")
+    return low.join(rank, "component").select("v", F.col("number").alias("component"))
+
+
+def labels(g) -> DataFrame:
+    """(v, component): component is its smallest vertex; isolated vertices are their own."""
+    found = min_labels(g.edges.select("u", "v"))
+    return g.vertices.join(found, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
+
+
+def component_sizes(g) -> DataFrame:
+    """(component, size), component being its smallest vertex."""
+    return labels(g).groupBy("component").agg(F.count("*").alias("size"))
+
+
+def members(g) -> DataFrame:
+    """(component, v) in members' order is a sort away; kept as rows, since a component may hold most vertices."""
+    return components(g).orderBy("component", "v")
