@@ -2,9 +2,9 @@
 
 Words are counted over all documents; the most frequent form the vocabulary, every other word falls into a class by
 its length and last letter. A network with one hidden layer sees the embeddings of SIDE words on either side of a
-place, never the word there, and predicts that word. It is trained in numpy: in each round every task runs minibatch
-descent over its own documents (one place in STRIDE of every text, another one each round, so what is trained on
-grows with the corpus), and the tasks' parameters are averaged, weighted by places seen. A document's score is the
+place, never the word there, and predicts that word. It is trained in numpy on the windows of one place in STRIDE of
+every whole text, gathered once in packed form, so what it is trained on grows with the corpus: in each round every
+task runs minibatch descent over its own windows, and the tasks' parameters are averaged, weighted by windows. A document's score is the
 sum over all its places of log p(word | both sides); for a word of a class, the class is predicted and its share of
 the class, smoothed, is a constant of the corpus.
 
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arcwright.llm import common
+from arcwright.plans.loops import cut
 
 SIDE = 3
 WORDS = 191
@@ -31,12 +32,18 @@ CLASSES = 64
 VOCABULARY = WORDS + CLASSES + 1  # and one for places beyond the text
 EMBED, HIDDEN = 16, 32
 STRIDE = 16
-ROUNDS = 2
+#: Steps of descent, round by round.
+RATES = (1.0, 0.7, 0.4)
 BATCH = 512
-RATE = 0.15
 SEED = 71
 
-_WORD = re.compile(r"[^\W_]+|[^\w\s]+|_+")
+_WORD = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
+_WORD_ASCII = re.compile(r"[a-z0-9]+|[^\sa-z0-9]+", re.ASCII)
+
+
+def words(text: str | None) -> list[str]:
+    low = (text or "").lower()
+    return (_WORD_ASCII if low.isascii() else _WORD).findall(low)
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -49,7 +56,7 @@ def counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in common.runs(batch):
                 for t in part.column("text").to_pylist():
-                    total.update(_WORD.findall((t or "").lower()))
+                    total.update(words(t))
                 if len(total) > 300_000:
                     yield _pairs(total)
                     total.clear()
@@ -68,18 +75,19 @@ def _class(word: str) -> int:
 
 
 def vocabulary(docs: DataFrame) -> dict:
-    """The frequent words' numbers, and for each class log of the smoothed share of one unseen-size word."""
-    from arcwright.plans.loops import cut
-
+    """The frequent words' numbers, log of a word's smoothed share of its class, and log frequencies, where training starts."""
     c = cut(counts(docs))
-    top = [r.word for r in c.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
-    number = {w: i for i, w in enumerate(top)}
+    top = c.orderBy(F.desc("n"), "word").limit(WORDS).collect()
     last = F.ascii(F.right("word", F.lit(1)))
-    rest = c.where(~F.col("word").isin(top)).groupBy(F.pmod(last * 4 + F.least(F.floor(F.length("word") / 4), F.lit(3)), F.lit(CLASSES)).alias("k")).agg(F.count("*").alias("words"))
-    share = np.zeros(VOCABULARY)
+    group = F.pmod(last * 4 + F.least(F.floor(F.length("word") / 4), F.lit(3)), F.lit(CLASSES)).alias("k")
+    rest = c.where(~F.col("word").isin([r.word for r in top])).groupBy(group).agg(F.count("*").alias("words"), F.sum("n").alias("n"))
+    share, seen = np.zeros(VOCABULARY), np.ones(VOCABULARY)
+    for i, r in enumerate(top):
+        seen[i] += r.n
     for r in rest.collect():
         share[WORDS + r.k] = -np.log(r.words + 1.0)
-    return {"number": number, "share": share}
+        seen[WORDS + r.k] += r.n
+    return {"number": {r.word: i for i, r in enumerate(top)}, "share": share, "log_p": np.log(seen / seen.sum()).astype(np.float32)}
 
 
 class Network:
@@ -130,7 +138,7 @@ class Network:
 
 def _ids(text: str | None, number: dict) -> np.ndarray:
     get = number.get
-    return np.array([k if (k := get(w)) is not None else _class(w) for w in _WORD.findall((text or "").lower())], np.int32)
+    return np.array([k if (k := get(w)) is not None else _class(w) for w in words(text)], np.int32)
 
 
 def _windows(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -139,49 +147,56 @@ def _windows(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     return padded[places[:, None] + np.r_[0:SIDE, SIDE + 1 : 2 * SIDE + 1]]
 
 
-def train(docs: DataFrame, vocab: dict, rounds: int = ROUNDS) -> np.ndarray:
+def windows(docs: DataFrame, vocab: dict) -> DataFrame:
+    """(n, packed): the windows to train on, both sides and the word, a byte each."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab["number"])
+
+    def run(batches):
+        for batch in batches:
+            for part in common.runs(batch):
+                held = []
+                for text in part.column("text").to_pylist():
+                    ids = _ids(text, shared.value)
+                    places = np.arange(len(ids) % STRIDE, len(ids), STRIDE)
+                    if len(places):
+                        held.append(np.c_[_windows(ids, places), ids[places]].astype(np.uint8))
+                if held:
+                    yield pa.RecordBatch.from_pydict({"n": pa.array([sum(map(len, held))], pa.int64()), "packed": pa.array([np.concatenate(held).tobytes()], pa.binary())})
+
+    return docs.select("text").mapInArrow(run, "n long, packed binary")
+
+
+def train(docs: DataFrame, vocab: dict, rates: tuple = RATES) -> np.ndarray:
+    """The parameters, as one vector."""
     spark = docs.sparkSession
-    flat = Network().flat
-    for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((vocab["number"], flat, turn))
+    made = cut(windows(docs, vocab))
+    groups = max(1, int(np.sqrt(max(1, made.rdd.getNumPartitions()))))
+    net = Network()
+    net.c[:] = vocab["log_p"]
+    flat = net.flat
+    for turn, rate in enumerate(rates):
+        shared = spark.sparkContext.broadcast((flat, rate, turn))
 
         def run(batches, shared=shared):
             from pyspark import TaskContext
 
-            number, start, turn = shared.value
+            start, rate, turn = shared.value
             net, seen = Network(start), 0
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def learn():
-                nonlocal seen
-                context, target = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-                order = np.random.default_rng(SEED + turn).permutation(len(target))
-                for i in range(0, len(order), BATCH):
-                    at = order[i : i + BATCH]
-                    net.step(context[at], target[at], RATE * min(1.0, len(at) / BATCH))
-                seen += len(target)
-                held.clear()
-
             for batch in batches:
-                for part in common.runs(batch):
-                    for text in part.column("text").to_pylist():
-                        ids = _ids(text, number)
-                        places = np.arange((len(ids) + turn * 7) % STRIDE, len(ids), STRIDE)
-                        if len(places):
-                            held.append((_windows(ids, places), ids[places]))
-                    if sum(len(t) for _, t in held) > 64 * BATCH:
-                        learn()
-            if held:
-                learn()
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([(net.flat * np.float32(max(seen, 1))).tobytes()], pa.binary())], names=["task", "seen", "sum"])
+                for packed in batch.column("packed"):
+                    w = np.frombuffer(packed.as_py(), np.uint8).reshape(-1, 2 * SIDE + 1).astype(np.int32)
+                    w = w[np.random.default_rng(SEED + turn).permutation(len(w))]
+                    for i in range(0, len(w), BATCH):
+                        net.step(w[i : i + BATCH, :-1], w[i : i + BATCH, -1], rate * min(1.0, len(w[i : i + BATCH]) / BATCH))
+                    seen += len(w)
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([seen], pa.int64()), pa.array([(net.flat * np.float32(seen)).tobytes()], pa.binary())], names=["g", "seen", "sum"])
 
         def add(t: pa.Table) -> pa.Table:
             total = np.sum([np.frombuffer(x, np.float32) for x in t.column("sum").to_pylist()], axis=0, dtype=np.float64)
-            return pa.table({"seen": [sum(max(s, 1) for s in t.column("seen").to_pylist())], "sum": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+            return pa.table({"seen": [sum(t.column("seen").to_pylist())], "sum": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        made = docs.select("text").mapInArrow(run, "task long, seen long, sum binary")
-        groups = max(1, int(np.sqrt(max(1, docs.rdd.getNumPartitions()))))
-        parts = made.withColumn("g", F.pmod("task", F.lit(groups))).groupBy("g").applyInArrow(add, "seen long, sum binary").collect()
+        parts = made.mapInArrow(run, "g int, seen long, sum binary").groupBy("g").applyInArrow(add, "seen long, sum binary").collect()
         if not parts:
             return flat
         parts.sort(key=lambda r: (r.seen, bytes(r.sum)))
