@@ -17,8 +17,25 @@ from arcwright.plans.shipping import ship
 RUN_BYTES = 2 << 20
 
 
+#: Rows and bytes of one Arrow batch between Spark and Python, so that long texts don't pile up on either side.
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lowers the session's bounds of Arrow batches to those above, where they are higher."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        except Exception:  # this version has no such setting
+            continue
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+    return ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(name: str, modulus: int) -> Column:
@@ -48,6 +65,17 @@ def runs(batch: pa.RecordBatch, name: str = "text", limit: int = RUN_BYTES) -> I
         at = to
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the machine; workers outlive tasks and share an executor's bound."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, in place on a fresh array."""
     x = x ^ (x >> np.uint64(30))

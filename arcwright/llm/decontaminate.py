@@ -168,6 +168,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, all columns; decided where the text is, so nothing is shuffled."""
+    common.small_batches(docs.sparkSession)
     chunks = list(_chunks([(str(r.item_id), r.text) for r in benchmark.select("item_id", "text").toLocalIterator()])) or [[]]
     out = docs
     for chunk in chunks:

@@ -43,6 +43,7 @@ def _tested(d: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    common.small_batches(docs.sparkSession)
     tested = _tested(digests(docs))
     straight = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     again = tested.where("maybe").select("doc_id", "sha", "row")

@@ -97,6 +97,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
 
     Bundles are summed per task and then per language, so the driver gets one vector a language.
     """
+    common.small_batches(docs.sparkSession)
     known = docs.where("lang is not null and lang <> '' and text is not null")
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).withColumn("rate", F.lit(float(sample)) / F.col("n"))
     rates = {r.lang: r.rate for r in sizes.collect()}

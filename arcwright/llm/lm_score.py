@@ -76,6 +76,7 @@ def _class(word: str) -> int:
 
 def vocabulary(docs: DataFrame) -> dict:
     """The frequent words' numbers, log of a word's smoothed share of its class, and log frequencies, where training starts."""
+    common.small_batches(docs.sparkSession)
     c = cut(counts(docs))
     top = c.orderBy(F.desc("n"), "word").limit(WORDS).collect()
     last = F.ascii(F.right("word", F.lit(1)))

@@ -85,6 +85,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                         length.append(b - a)
                         crc.append(zlib.crc32(raw[a:b].tobytes()))
         yield _packed([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], base, capacity)
+        common.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
 
@@ -96,6 +97,7 @@ def _packed(columns: list, base: int, capacity: int) -> pa.RecordBatch:
 
 def sequences(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    common.small_batches(docs.sparkSession)
     first = cut(pieces(docs, path, capacity))
     loose = first.where(F.col("gap") >= LOOSE)
     groups = max(1, loose.count() // GROUP)

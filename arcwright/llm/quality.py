@@ -81,6 +81,7 @@ def _logistic(x: np.ndarray, y: np.ndarray):
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """labels: (doc_id, quality). The model is a few hundred KB."""
+    common.small_batches(docs.sparkSession)
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for q in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
@@ -130,6 +131,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             for part in common.runs(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer(part.column("text").to_pylist()), pa.float64())], names=[*part.schema.names, "score"])
+        common.release()
 
     from pyspark.sql.types import DoubleType, StructType
 
