@@ -10,7 +10,7 @@ below once in 10**8 distinct shingles, is the only source of error).
 2. Sets of the rest; equal sets collapse into a class, represented by its smallest doc_id.
 3. Heavy-light candidates between classes. Hashes are ordered rarest first. A light class (few shingles) enumerates
    all 2-subsets of its prefix; a heavy one is entered into the inverted list of each hash of its prefix. The boundary
-   is the size at which the cost, taken from the histogram of sizes and the mean list length, is least. Light classes
+   is the size at which the cost in rows, taken from the histogram of sizes, is least. Light classes
    within reach of a heavy one are in the lists as well. Classes meeting in a subset or list are joined to the first
    of it only, so candidates stay linear in the input, and their connected components contain every link.
 4. Each such component is checked by scanning inverted lists of whole sets in memory; large ones are cut in blocks
@@ -34,10 +34,13 @@ from arcwright.plans.loops import cut
 WORDS = 4
 THRESHOLD = 85
 #: Shingles and classes that one block of a candidate component may hold.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 400_000
 BLOCK_CLASSES = 1500
+BLOCK_LEAST = 300
 #: Sizes beyond this are heavy whatever the histogram says: their 2-subsets outnumber any list.
 LARGEST_LIGHT = 400
+#: Bytes of text hashed at a time; hashing takes about sixty times as much memory for a moment.
+RUN = 512 << 10
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -117,14 +120,14 @@ def shared_prefixes(docs: DataFrame, n: int, threshold: int) -> DataFrame:
     With need(s) = ceil(t * s) and share(s), the s - need(s) + share(s) smallest hashes of two linked sets have
     at least min(share) of them in common, and the partner's size is at least need(s).
     """
-    buckets = common.partitions(docs.sparkSession)
+    buckets = common.partitions(common.small_batches(docs.sparkSession))
 
     def pack(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = np.asarray(batch.column("doc_id"))
-            sets = [s for part in common.runs(batch) for s in shingle_sets(part.column("text"), n)]
+            sets = [s for part in common.runs(batch, limit=RUN) for s in shingle_sets(part.column("text"), n)]
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             lengths = np.minimum(sizes, sizes - _need(sizes, threshold) + _share(sizes))
             own = np.repeat(np.arange(len(sets)), lengths)
@@ -144,6 +147,7 @@ def shared_prefixes(docs: DataFrame, n: int, threshold: int) -> DataFrame:
             rows = [(int(ids[0]) % buckets, None, None, ids.tobytes(), sizes.tobytes(), counts.astype(np.int64).tobytes())]
             rows += [(k, hashes[a:b].astype(np.uint32).tobytes(), sender[a:b].tobytes(), None, None, None) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 5])], names=["bucket", "hashes", "senders", "ids", "sizes", "counts"])
+        common.release()
 
     join = _join
 
@@ -187,7 +191,7 @@ def sets_of(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             batch = batch.filter(pa.array(common.bloom_has(filter_.value, bits, np.asarray(batch.column("doc_id")))))
-            for part in common.runs(batch):
+            for part in common.runs(batch, limit=RUN):
                 sets = shingle_sets(part.column("text"), n)
                 digest = [(s.sum(dtype=np.uint64), common.mix(s + np.uint64(77)).sum(dtype=np.uint64)) for s in sets]
                 full = [len(s) > 0 for s in sets]
@@ -201,14 +205,18 @@ def sets_of(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
                     ],
                     names=["doc_id", "n", "a", "b", "hashes"],
                 ).filter(pa.array(full, pa.bool_()))
+        common.release()
 
     return docs.select("doc_id", "text").mapInArrow(read, "doc_id long, n long, a long, b long, hashes array<long>")
 
 
-def light_boundary(sizes: dict[int, int], mean_list: float, threshold: int, largest: int = LARGEST_LIGHT) -> int:
-    """The largest size that is light: where subsets of the light plus list entries and scans of the heavy cost least."""
+def light_boundary(sizes: dict[int, int], threshold: int, largest: int = LARGEST_LIGHT) -> int:
+    """The largest size that is light: where rows for subsets of the light and for list entries of the heavy are fewest.
+
+    An entry costs two rows, its own and its link to the first of its list; a subset, rarely shared, costs one.
+    """
     order = sorted(sizes)
-    entry = {s: sizes[s] * (s - _need(s, threshold) + 1) * (1 + mean_list) for s in order}
+    entry = {s: 2 * sizes[s] * (s - _need(s, threshold) + 1) for s in order}
     subsets = {s: sizes[s] * (p := s - _need(s, threshold) + 2) * (p - 1) / 2 for s in order}
     best, at = sum(entry.values()), 0
     for x in [s for s in order if s <= largest]:
@@ -223,9 +231,8 @@ def candidates(reps: DataFrame, threshold: int) -> DataFrame:
     """Edges (u, v) between classes such that all linked classes are connected. reps: (rep, n, a, hashes)."""
     each = reps.select("rep", "n", F.explode("hashes").alias("h"), "a")
     seen = cut(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
-    mean_list = seen.agg(F.sum(F.col("df") * F.col("df")) / F.sum("df")).first()[0] or 0.0
     sizes = {r.n: r.c for r in reps.where(F.col("n") <= 2 * LARGEST_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}
-    light = light_boundary(sizes, float(mean_list), threshold)
+    light = light_boundary(sizes, threshold)
     n, need = F.col("n"), F.floor((threshold * F.col("n") + 99) / 100)
     # hashes of one class only are its rarest, so they fill the front of its prefix
     ordered = each.join(seen, "h").groupBy("rep", "n", "a").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
@@ -246,7 +253,9 @@ def verified(clusters: DataFrame, threshold: int) -> DataFrame:
     """Edges (u, v): a spanning forest of the links. clusters: (cluster, rep, n, hashes)."""
     spark = clusters.sparkSession
     size = clusters.groupBy("cluster").agg(F.sum("n").alias("t"), F.count("*").alias("m"))
-    blocks = F.greatest(F.ceil(F.col("t") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_CLASSES)).cast("int")
+    # about sixteen blocks, of no fewer than BLOCK_LEAST classes and within the bounds
+    per = F.least(F.greatest(F.col("m") / 16, F.lit(BLOCK_LEAST)), F.lit(BLOCK_CLASSES))
+    blocks = F.greatest(F.ceil(F.col("t") / BLOCK_SHINGLES), F.ceil(F.col("m") / per)).cast("int")
     size = size.select("cluster", blocks.alias("blocks"), "t")
     c = clusters.join(size, "cluster")
     small = c.where("blocks = 1")
@@ -273,6 +282,7 @@ def verified(clusters: DataFrame, threshold: int) -> DataFrame:
             for a, b in _links([flat[offsets[i] : offsets[i + 1]] for i in own], side[own], threshold):
                 us.append(rep[own[a]])
                 vs.append(rep[own[b]])
+        common.release()
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return small.union(large).groupBy("task").applyInArrow(check, "u long, v long")
