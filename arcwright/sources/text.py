@@ -105,10 +105,13 @@ def bibliography(spark: SparkSession, path: str, formal_only: bool = False, lati
     Home pages and persons are no papers; with formal_only neither are informal publications.
     """
     out = None
-    schema = "_key string, _publtype string, author array<struct<_VALUE string>>, year string"
     for tag in records:
-        reader = spark.read.format("xml").option("rowTag", tag).option("encoding", "ISO-8859-1" if latin1 else "UTF-8").schema(schema)
-        rows = reader.load(path).select(F.lit(tag).alias("tag"), "_key", "_publtype", F.transform("author", lambda a: a["_VALUE"]).alias("authors"), "year")
+        # a record is what stands before its closing tag; the bytes are decoded here, since text is taken for UTF-8
+        raw = spark.read.option("lineSep", f"</{tag}>").text(path)
+        text = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if latin1 else F.col("value")
+        rows = raw.select(F.regexp_extract(text, rf"(?s)^.*<{tag}\b([^>]*)>(.*)$", 1).alias("head"), F.regexp_extract(text, rf"(?s)^.*<{tag}\b([^>]*)>(.*)$", 2).alias("body"), F.contains(text, F.lit(f"<{tag}")).alias("is"))
+        attribute = lambda a: F.regexp_extract("head", rf"""\b{a}\s*=\s*["']([^"']*)["']""", 1)
+        rows = rows.where("is").select(F.lit(tag).alias("tag"), attribute("key").alias("_key"), attribute("publtype").alias("_publtype"), F.regexp_extract_all("body", F.lit(r"(?s)<author\b[^>]*>(.*?)</author>"), 1).alias("authors"), F.regexp_extract("body", r"(?s)<year\b[^>]*>(.*?)</year>", 1).alias("year"))
         out = rows if out is None else out.union(rows)
     return papers_of(out, formal_only)
 
