@@ -21,7 +21,10 @@ NEXT = """nxt AS (SELECT l_partkey + 1 AS u, lead(l_partkey + 1) OVER (PARTITION
 
 
 def succ(quantity: int) -> str:
-    return f"""{NEXT}, succ AS (SELECT DISTINCT u, v FROM nxt WHERE v IS NOT NULL AND u <> v AND q >= {quantity})"""
+    """Parts that follow one another in an order, among its lines of at least a quantity."""
+    order = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+    return f"""sn AS (SELECT l_partkey + 1 AS u, lead(l_partkey + 1) OVER (PARTITION BY l_orderkey ORDER BY {order}) AS v FROM lineitem WHERE l_quantity >= {quantity}),
+    succ AS (SELECT DISTINCT u, v FROM sn WHERE v IS NOT NULL AND u <> v)"""
 
 
 COPART_INT = "SELECT u, v, CAST(1 + (u * 7 + v * 13) % 9 AS DOUBLE) AS weight FROM copart"
