@@ -171,7 +171,7 @@ def test_papers(spark):
 
 
 def test_xml(spark, tmp_path):
-    (tmp_path / "d.xml").write_bytes("<dblp><article key='a'><author>J&#246;rg &amp; Co</author><author>M\xfcller</author><year>2001</year></article><article key='b' publtype='informal'><author>X</author><author>Y</author><year>20011</year></article></dblp>".encode("latin-1"))
+    (tmp_path / "d.xml").write_bytes("<root><article key='a'><author>J&#246;rg &amp; Co</author><author>M\xfcller</author><year>2001</year></article><article key='b' publtype='informal'><author>X</author><author>Y</author><year>20011</year></article></root>".encode("latin-1"))
     p = text.bibliography(spark, str(tmp_path / "d.xml"), records=["article"])
     assert {(r.year, tuple(r.authors)) for r in p.collect()} == {(None, ("X", "Y")), (2001, ("Jörg & Co", "Müller"))}
     assert text.bibliography(spark, str(tmp_path / "d.xml"), formal_only=True, records=["article"]).count() == 1
