@@ -59,12 +59,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Where a dropped and a kept row share an id, the row kept is the one with the smallest text digest of that id.
     """
     spark = docs.sparkSession
-    out = groups(docs)
+    out = cut(groups(docs))
     lost = cut(out.where("not kept").select("doc_id", "text_sha256").distinct())
     stay = out.where("kept").select("doc_id", "text_sha256")
-    # a row is identified by id and digest; of wholly repeated rows one is kept
-    twice = cut(stay.join(lost, ["doc_id", "text_sha256"], "left_semi"))
-    gone = cut(lost.join(twice, ["doc_id", "text_sha256"], "left_anti").select("doc_id", "text_sha256"))
+    # a row is identified by id and digest, nulls equal; of wholly repeated rows one is kept
+    same = F.col("a.text_sha256").eqNullSafe(F.col("b.text_sha256")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+    twice = cut(stay.alias("a").join(lost.alias("b"), same, "left_semi"))
+    gone = cut(lost.alias("a").join(twice.alias("b"), same, "left_anti"))
     return without(docs, gone, twice)
 
 

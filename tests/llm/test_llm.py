@@ -93,6 +93,11 @@ def test_exact(spark):
     assert exact_dedup.groups(docs(spark, [])).count() == 0 and exact_dedup.deduplicate(docs(spark, [])).count() == 0
 
 
+def test_exact_without_ids(spark):
+    rows = [(None, "x"), (None, "x"), (None, "y"), (3, "x"), (4, None), (4, "")]
+    assert sorted((str(r.doc_id), r.text or "") for r in exact_dedup.deduplicate(docs(spark, rows)).collect()) == [("4", ""), ("None", "x"), ("None", "y")]
+
+
 def test_bloom_twice(spark):
     keys = [1, 2, 3, 3, 4, 5, 5, 5, None][:8]
     df = spark.createDataFrame([(k,) for k in keys], "key long").repartition(3)
