@@ -2,7 +2,8 @@
 
 The first pass puts a 64-bit hash of every normalised text into a filter that keeps only bits set by two rows or
 more; the second tests every row. Rows that cannot be repeated pass straight through; only the others, as
-(id, digest) without text, are shuffled and grouped by their SHA-256.
+(id, digest) without text, are shuffled and grouped by their SHA-256. Groups are counted with partial sums; rows of large
+groups, of which there are fewer than HOT_GROUPS, get their group from a broadcast table and meet in no task.
 
 Defined results: null text counts as empty, and empty texts equal one another; rows that repeat both text and id
 count as members of one group, of which one row is marked kept; a null id sorts first; an empty table gives no rows.
@@ -18,6 +19,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from arcwright.llm import common
 from arcwright.plans.loops import cut
 
+#: A group is large with more than HOT_ROWS rows and more than one in HOT_GROUPS of the rows tested, so fewer than HOT_GROUPS are.
+HOT_GROUPS = 1000
+HOT_ROWS = 1000
+
 
 def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
@@ -47,8 +52,13 @@ def groups(docs: DataFrame) -> DataFrame:
     tested = _tested(digests(docs))
     straight = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     again = tested.where("maybe").select("doc_id", "sha", "row")
-    sizes = again.groupBy("sha").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("group_size"))
-    repeated = again.join(sizes, "sha").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "sha")
+    sizes = cut(again.groupBy("sha").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("group_size")))
+    hot = max(HOT_ROWS, (sizes.agg(F.sum("group_size")).first()[0] or 0) // HOT_GROUPS)
+    large = sizes.where(F.col("group_size") > hot).select("sha", F.struct("first", "group_size").alias("large"))
+    flagged = again.join(F.broadcast(large), "sha", "left")
+    met = flagged.where("large is not null").select("doc_id", "row", "sha", "large.first", "large.group_size")
+    met = met.union(flagged.where("large is null").select("doc_id", "row", "sha").join(sizes.where(F.col("group_size") <= hot), "sha").select("doc_id", "row", "sha", "first", "group_size"))
+    repeated = met.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "sha")
     return straight.union(repeated).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 

@@ -98,6 +98,15 @@ def test_exact_without_ids(spark):
     assert sorted((str(r.doc_id), r.text or "") for r in exact_dedup.deduplicate(docs(spark, rows)).collect()) == [("4", ""), ("None", "x"), ("None", "y")]
 
 
+def test_exact_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 3)
+    monkeypatch.setattr(exact_dedup, "HOT_GROUPS", 4)
+    texts = ["large"] * 40 + ["small", "small", "alone"] + ["other  one"] * 5
+    made = {r.doc_id: r for r in exact_dedup.groups(docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        assert (made[i].keep_id, made[i].group_size, made[i].kept) == (texts.index(t), texts.count(t), i == texts.index(t))
+
+
 def test_bloom_twice(spark):
     keys = [1, 2, 3, 3, 4, 5, 5, 5, None][:8]
     df = spark.createDataFrame([(k,) for k in keys], "key long").repartition(3)
