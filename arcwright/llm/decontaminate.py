@@ -10,7 +10,8 @@ that several items share count for each of them; an empty benchmark hits nothing
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,14 @@ def words(text: str | None) -> list[bytes]:
 
 
 def windows(rows: list[tuple[str, str]], width: int = WINDOW) -> dict[str, list[str]]:
-    """Pattern -> the items that have it."""
+    """Pattern -> the items that have it (one whose rows lie apart may be there more than once)."""
     out: dict[str, list[str]] = {}
     for item, text in rows:
         w = words(text)
         if w:
             for i in range(max(1, len(w) - width + 1)):
                 own = out.setdefault(f" {b' '.join(w[i : i + width]).decode()} ", [])
-                if item not in own:
+                if not own or own[-1] != item:
                     own.append(item)
     return out
 
@@ -66,10 +67,9 @@ class Scanner:
         if not found:
             return len(w), [], set()
         blanks = np.flatnonzero(np.array(list(line), "U1") == " ") if not line.isascii() else np.flatnonzero(np.frombuffer(line.encode(), np.uint8) == 32)
-        items: set[str] = set()
+        items = set().union(*{id(own): own for _, (_, own) in found}.values())  # a window that occurs often counts its items once
         ranges: list[tuple[int, int]] = []
         for end, (n, own) in found:
-            items.update(own)
             to = int(np.searchsorted(blanks, end))
             ranges.append((to - n, to))
         ranges.sort()
@@ -94,7 +94,7 @@ class Scanner:
         return [(chars(start[a]), chars(stop[b - 1])) for a, b in ranges]
 
 
-def _chunks(rows: list[tuple[str, str]], limit: int = AUTOMATON_CHARS):
+def _chunks(rows: Iterable[tuple[str, str]], limit: int = AUTOMATON_CHARS):
     """Items by chunks whose patterns fit one automaton."""
     chunk, size = [], 0
     for item, text in rows:
@@ -116,7 +116,9 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     rows = ((str(r.item_id), r.text) for r in benchmark.select("item_id", "text").toLocalIterator())
     passes = []
-    for chunk in list(_chunks(list(rows))) or [[]]:
+    for chunk in chain(_chunks(rows), [[]]):
+        if not chunk and passes:  # the empty one stands for a benchmark without items
+            break
         shared = docs.sparkSession.sparkContext.broadcast(chunk)
         passes.append(docs.select("doc_id", "text").mapInArrow(_scan(shared), "doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"))
     return passes[0] if len(passes) == 1 else _merge(passes)
@@ -169,9 +171,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, all columns; decided where the text is, so nothing is shuffled."""
     common.small_batches(docs.sparkSession)
-    chunks = list(_chunks([(str(r.item_id), r.text) for r in benchmark.select("item_id", "text").toLocalIterator()])) or [[]]
+    rows = ((str(r.item_id), r.text) for r in benchmark.select("item_id", "text").toLocalIterator())
     out = docs
-    for chunk in chunks:
+    for chunk in _chunks(rows):
         shared = docs.sparkSession.sparkContext.broadcast(chunk)
 
         def keep(batches, shared=shared):
@@ -184,7 +186,28 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-SQL = None
+#: Document words are numbered; windows of each width that occurs are joined on their words.
+SQL = r"""
+WITH words AS (
+    SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+    SELECT DISTINCT item, least(len(w), 10) AS width, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS pattern
+    FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM items WHERE len(w) > 0)),
+widths AS (SELECT DISTINCT width FROM windows),
+grams AS (
+    SELECT id, width, k, array_to_string(w[k : k + width - 1], ' ') AS pattern
+    FROM (SELECT id, w, width, unnest(range(1, len(w) - width + 2)) AS k FROM words JOIN widths ON len(w) >= width)),
+met AS (SELECT id, k, width, pattern FROM grams SEMI JOIN windows USING (width, pattern)),
+hit AS (SELECT id, count(DISTINCT place) AS n_hit FROM (SELECT id, unnest(range(k, k + width)) AS place FROM met) GROUP BY id),
+own AS (
+    SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS line
+    FROM (SELECT DISTINCT id, item FROM met JOIN windows USING (width, pattern)) GROUP BY id)
+SELECT words.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(line, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit ON words.id = hit.id LEFT JOIN own ON words.id = own.id
+"""
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ below once in 10**8 distinct shingles, is the only source of error).
    and every pair of blocks is a task. A task gives back a spanning forest of its links, no lists of pairs.
 
 Defined results: null, empty or wordless text has the empty set and links with nothing; fewer words than n make one
-shingle; rows that repeat an id count as one document with the links of each; an empty table gives no rows.
+shingle; rows that repeat an id count as one document with the links of each; rows without an id have no row in `components`
+and stay in `one_of_each`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -361,7 +362,22 @@ def one_of_each(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD) ->
     return flagged.where("not _maybe").union(flagged.where("_maybe").join(gone, "doc_id", "left_anti").select(flagged.columns)).drop("_maybe")
 
 
-SQL = None
+#: Every pair that shares a shingle, and all that is reached by links: for tables of a few thousand documents.
+SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT id, array_to_string(w[k : k + 3], ' ') AS s
+    FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM words WHERE len(w) > 0)),
+sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+links AS (
+    SELECT a, b FROM (
+        SELECT x.id AS a, y.id AS b, count(*) AS common FROM shingles x JOIN shingles y ON x.s = y.s AND x.id <> y.id GROUP BY x.id, y.id)
+    JOIN sizes p ON p.id = a JOIN sizes q ON q.id = b WHERE 100 * common >= 85 * (p.n + q.n - common)),
+reached AS (SELECT id AS a, id AS b FROM words UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT words.id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM words LEFT JOIN sizes USING (id) JOIN (SELECT a AS id, min(b) AS component_id FROM reached GROUP BY a) USING (id)
+"""
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
