@@ -126,9 +126,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
 
 
 def identify(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> DataFrame:
-    """docs (with a column text) and lang_pred, score."""
+    """docs without text, and lang_pred, score (which replace columns of these names)."""
     shared = docs.sparkSession.sparkContext.broadcast((languages, prototypes))
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c.lower() not in ("text", "lang_pred", "score")]
 
     def run(batches):
         names, proto = shared.value

@@ -4,8 +4,8 @@ Every shard walks the slots of a prime-sized table in an order of its own (offse
 take turns claiming their next free slot. A key's slot is a hash modulo the table size, so placing is one look-up in
 a broadcast table, loads differ by a few slots in a thousand, and adding or removing a shard moves few keys.
 
-Defined results: a null key is placed like the empty text; repeated keys go to the same shard; an empty table gives
-no rows. The table has `size` rows whatever the data, so its broadcast is bounded.
+Defined results: a null key is placed like the empty text; repeated keys go to the same shard; columns of the input
+named slot, shard_id or shard are replaced, the key's own value being read first; an empty table gives no rows. The table has `size` rows whatever the data, so its broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -51,14 +51,16 @@ def place(docs: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE)
     spark = docs.sparkSession
     filled = lookup_table(shards, size)
     lookup = spark.createDataFrame(pa.table({"slot": pa.array(range(size), pa.int32()), "shard_id": pa.array(filled), "shard": pa.array([shards[i] for i in filled])}))
-    return docs.withColumn("slot", slot(F.col(key), size)).join(F.broadcast(lookup), "slot")
+    rest = [c for c in docs.columns if c.lower() not in ("slot", "shard_id", "shard")]
+    return docs.select(slot(F.col(key), size).alias("slot"), *rest).join(F.broadcast(lookup), "slot")
 
 
 def write(docs: DataFrame, key: str, shards: list[str], path: str, size: int = TABLE_SIZE, files: int = 8) -> None:
-    """One folder per shard. Rows of a shard are spread over `files` files by a second hash, so a hot shard is no single task."""
+    """One folder per shard. Rows of a shard are dealt to `files` tasks by their place in the input, so neither a hot shard nor a hot key is a single task."""
     placed = place(docs, key, shards, size)
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(files))
-    placed.repartition(common.partitions(docs.sparkSession), "shard", part).write.partitionBy("shard").parquet(path)
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(files))
+    dealt = placed.withColumn("_part", part).repartition(common.partitions(docs.sparkSession), "shard", "_part")
+    dealt.drop("_part").write.partitionBy("shard").parquet(path)
 
 
 SQL = None

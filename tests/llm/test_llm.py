@@ -6,6 +6,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arcwright.llm import common, decontaminate, exact_dedup, jaccard_join, langid, lm_score, packing, quality, sharding, token_counts, wavelet
 
@@ -254,6 +255,8 @@ def test_langid(spark):
     a, b, c, edge = (langid.letter_vector(ord(x)).astype(int) if x else langid.letter_vector(0).astype(int) for x in ("a", "b", "c", ""))
     three = lambda x, y, z: np.roll(x, 2) * np.roll(y, 1) * z
     assert (v[0] == three(a, b, edge) + three(b, edge, c) + three(edge, c, edge)).all()
+    clash = df.selectExpr("*", "'?' as lang_pred", "'?' as score")
+    assert sorted((x.doc_id, x.lang_pred) for x in langid.identify(clash, *learned).collect()) == sorted((i, lang) for i, _, lang in rows)
     assert langid.identify(df.drop("lang"), *langid.train(df.where("false"))).where("lang_pred <> 'und'").count() == 0
 
 
@@ -270,7 +273,7 @@ def test_lm(spark):
     assert np.isclose(np.exp(net.log_p(np.repeat(context, lm_score.VOCABULARY, 0), np.arange(lm_score.VOCABULARY))).sum(), 1, atol=1e-4)
 
 
-def test_sharding(spark):
+def test_sharding(spark, tmp_path):
     names = [f"s{i}" for i in range(20)]
     table = sharding.lookup_table(names, 2039)
     assert Counter(table.tolist()).most_common()[0][1] - Counter(table.tolist()).most_common()[-1][1] <= 1
@@ -280,6 +283,10 @@ def test_sharding(spark):
     assert len(made) == len(PLAIN) + 1 and all(r.shard_id == table[r.slot] and r.shard == names[r.shard_id] for r in made)
     with pytest.raises(ValueError):
         sharding.lookup_table(names, 2040)
+    extra = docs(spark, [(i, "x") for i in range(300)]).selectExpr("*", "'hot' as shard", "1 as slot")
+    sharding.write(extra, "shard", names, str(tmp_path / "out"), 2039, files=4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 300 and back.select("shard").distinct().count() == 1 and back.select(F.input_file_name()).distinct().count() > 1
 
 
 def test_pipeline(spark):
