@@ -289,8 +289,67 @@ def test_sharding(spark, tmp_path):
     assert back.count() == 300 and back.select("shard").distinct().count() == 1 and back.select(F.input_file_name()).distinct().count() > 1
 
 
-def test_pipeline(spark):
+def rows_of_pieces(rows):
+    want = Counter()
+    for i, raw in true_ids(rows):
+        first = len(raw) % 2048 or min(2048, len(raw))
+        for k, a in enumerate([0, *range(first, len(raw), 2048)]):
+            b = first if not k else a + 2048
+            want[i, k, a, b - a, zlib.crc32(raw[a:b].tobytes())] += 1
+    return want
+
+
+def brute_contaminated(text, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in t or ""))
+    found = defaultdict(set)
+    for t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - 9) if w else 0):
+            found[len(w[k : k + 10])].add(tuple(w[k : k + 10]))
+    w = words(text)
+    return any(tuple(w[k : k + n]) in own for n, own in found.items() for k in range(len(w) - n + 1))
+
+
+def brute_pipeline(rows, scorer, items):
+    """Rows that the first four stages keep, one document after another."""
+    rows = [(i, t) for (i, t), s in zip(rows, scorer([t for _, t in rows])) if s >= 0.7]
+    seen, kept = set(), []
+    for i, t in sorted(rows, key=lambda x: x[0]):
+        norm = re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+        if norm not in seen:
+            seen.add(norm)
+            kept.append((i, t))
+    first = brute_components(kept)
+    return [(i, t) for i, t in kept if first[i][1] == i and not brute_contaminated(t, items)]
+
+
+def run_pipeline(spark, sf_dir):
     import corpus_pipeline
 
-    made = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(made.columns) and made.count() > 100
+    made = corpus_pipeline.run(spark, sf_dir).collect()
+    fill = Counter()
+    for r in made:
+        fill[r.sequence_id] += r.length
+    assert all(n <= 2048 for n in fill.values())
+    return Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in made)
+
+
+def test_pipeline(spark):
+    folder = "/root/testdata/sf0.001"
+    table = lambda name: common.table(spark, folder, name)
+    rows = [(r.doc_id, r.text) for r in table("documents").select("doc_id", "text").collect()]
+    scorer = quality._scorer(quality.train(table("documents"), table("labels")))
+    kept = brute_pipeline(rows, scorer, [r.text for r in table("benchmark").collect()])
+    assert 0 < len(kept) < len(rows) and run_pipeline(spark, folder) == rows_of_pieces(kept)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    rows = [*PLAIN[:8], *PLAIN[9:], (20, "a b c d e f g h i j k"), (21, "x, A b c d e f g h i J? k")]
+    for name, has in (("plain", rows), ("empty", [])):
+        docs(spark, has).selectExpr("*", "1 as score", "'?' as shard", "2 as n_shingles").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(3, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([("q", "a b c d e f g h i j"), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    kept = brute_pipeline(rows, lambda texts: [1.0] * len(texts), ["a b c d e f g h i j", None])
+    assert {20, 21} & {i for i, _ in kept} == set()
+    assert run_pipeline(spark, f"{tmp_path}/plain") == rows_of_pieces(kept)
+    assert not run_pipeline(spark, f"{tmp_path}/empty")
