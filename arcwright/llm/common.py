@@ -163,11 +163,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: New pieces encoded at a time; the library takes about a hundred times their bytes for a moment.
+LEARN = 40_000
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     A byte-level vocabulary first cuts a text into pieces by a fixed pattern and encodes each piece alone, so
-    a piece is encoded by the library once, kept (at most about `limit` of them) and looked up after that.
+    a piece is encoded by the library once, kept (at most about `limit` of them, those met most) and looked up after that.
     The pattern is applied here only to texts of printable ASCII, line ends, tabs and Latin letters, where
     Python's character classes agree with the vocabulary's; any other text goes to the library whole.
     """
@@ -192,6 +196,18 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)
+        self.hits = np.zeros(1 << 16, np.int32)
+
+    def _thin(self):
+        """Keeps the half of the pieces met most often; what is kept never changes an id."""
+        n = len(self.known)
+        keep = np.sort(np.argpartition(-self.hits[:n], n // 2)[: n // 2])
+        words, flat, ends, hits = list(self.known), self.flat, self.ends, self.hits
+        lengths = np.diff(ends)[keep]
+        at = np.repeat(ends[keep] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        self._clear()
+        self._note([words[i] for i in keep.tolist()], flat[at], lengths)
+        self.hits[: len(keep)] = hits[keep] // 2
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -216,6 +232,7 @@ class Encoder:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(new) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         self.flat[used : used + len(flat)] = flat
         self.ends[n + 1 : n + 1 + len(new)] = used + np.cumsum(lengths)
         self.known.update(zip(new, range(n, n + len(new))))
@@ -230,8 +247,8 @@ class Encoder:
                 ids = self._encode(odd)
                 self._note(odd, np.concatenate([np.asarray(x, np.uint32) for x in ids]), np.array([len(x) for x in ids]))
                 new = [p for p in new if "\n" not in p]
-            if new:
-                self._learn(new)
+            for k in range(0, len(new), LEARN):
+                self._learn(new[k : k + LEARN])
             at[missing] = [self.known[pieces[i]] for i in missing]
         return at
 
@@ -239,7 +256,7 @@ class Encoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         plain, pieces, counts = [], [], []
         if len(self.known) > self.limit:
-            self._clear()
+            self._thin()
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.zeros(0, np.uint32)
@@ -253,6 +270,8 @@ class Encoder:
         if not plain:
             return out
         at = self._number(pieces)
+        times = np.bincount(at)
+        self.hits[: len(times)] += times.astype(np.int32)
         begin = self.ends[at]
         length = self.ends[at + 1] - begin
         stop = np.cumsum(length)
@@ -285,14 +304,14 @@ def _sure(text: str) -> bool:
     return not _UNSURE.search(text)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One a worker process."""
-    if path not in _encoders:
+def encoder(path: str, limit: int = 800_000) -> Encoder:
+    """One a worker process for each path and bound of pieces kept."""
+    if (path, limit) not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path, limit] = Encoder(path, limit)
+    return _encoders[path, limit]

@@ -27,6 +27,10 @@ END = 0
 LOOSE = 16
 #: Pieces that one task of the second round packs.
 GROUP = 200_000
+#: Pieces of text that a worker keeps encoded, and bytes of text encoded at a time: a smaller share of an executor's
+#: memory than the other encoding operators take, as packing ends pipelines whose earlier stages fill the JVM's heap.
+KNOWN = 400_000
+RUN = 1 << 20
 
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, gap int"
 
@@ -69,11 +73,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        encode = common.encoder(path)
+        encode = common.encoder(path, KNOWN)
         base = TaskContext.get().partitionId() << 36
         doc, piece, start, length, crc = [], [], [], [], []
         for batch in batches:
-            for part in common.runs(batch):
+            for part in common.runs(batch, limit=RUN):
                 for i, ids in zip(part.column("doc_id").to_pylist(), encode(common.strings(part.column("text")))):
                     raw = np.append(ids, np.uint32(END)).astype("<u4")
                     first = len(raw) % capacity or min(len(raw), capacity)
@@ -84,6 +88,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                         start.append(a)
                         length.append(b - a)
                         crc.append(zlib.crc32(raw[a:b].tobytes()))
+            common.release()
         yield _packed([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], base, capacity)
         common.release()
 
