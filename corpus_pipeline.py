@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from arcwright.llm import common, decontaminate, exact_dedup, jaccard_join, packing, quality
 from arcwright.plans.loops import checkpoint_root
 
+#: Near copies in the pipeline: words of a shingle and percent of Jaccard similarity. Those of op2 are its own.
+NEAR_WORDS = 5
+NEAR_THRESHOLD = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from all labels."""
@@ -22,7 +26,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies."""
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, n=NEAR_WORDS, threshold=NEAR_THRESHOLD)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

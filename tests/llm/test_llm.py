@@ -353,3 +353,16 @@ def test_pipeline_edges(spark, tmp_path):
     assert {20, 21} & {i for i, _ in kept} == set()
     assert run_pipeline(spark, f"{tmp_path}/plain") == rows_of_pieces(kept)
     assert not run_pipeline(spark, f"{tmp_path}/empty")
+
+
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    text = [f"w{k}" for k in range(60)]
+    part = lambda a, b: [*text[:a], *(f"{b}{k}" for k in range(a, 60))]
+    # of 5-word shingles 0.806 and 0.778 are shared with the first, of 4-word ones 0.81 and 0.78
+    rows = [(1, " ".join(text)), (2, " ".join(part(54, "x"))), (3, " ".join(part(53, "y"))), (4, "other words altogether, but five")]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.8 <= like(1, 2) < 0.85 and like(1, 3) < 0.8 and like(2, 3) < 0.8
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs(spark, rows), "").collect()) == [1, 3, 4]
