@@ -2,9 +2,9 @@
 
 Words are counted over all documents; the most frequent form the vocabulary, every other word falls into a class by
 its length and last letter. A network with one hidden layer sees the embeddings of SIDE words on either side of a
-place, never the word there, and predicts that word. It is trained in numpy on the windows of one place in STRIDE of
-every whole text, gathered once in packed form, so what it is trained on grows with the corpus: in each round every
-task runs minibatch descent over its own windows, and the tasks' parameters are averaged, weighted by windows. A document's score is the
+place, never the word there, and predicts that word. It is trained in numpy on every place of every whole text, from
+words' numbers gathered once in packed form: the rounds deal all places out among themselves, so that each is trained
+on once; in a round every task runs minibatch descent over its own places, and the tasks' parameters are averaged, weighted by places. A document's score is the
 sum over all its places of log p(word | both sides); for a word of a class, the class is predicted and its share of
 the class, smoothed, is a constant of the corpus.
 
@@ -31,10 +31,12 @@ WORDS = 191
 CLASSES = 64
 VOCABULARY = WORDS + CLASSES + 1  # and one for places beyond the text
 EMBED, HIDDEN = 16, 32
-STRIDE = 16
 #: Steps of descent, round by round.
 RATES = (1.0, 0.7, 0.4)
 BATCH = 512
+SIDES = np.r_[-SIDE:0, 1 : SIDE + 1]
+#: A word's number in a line.
+NUMBER = np.uint8
 SEED = 71
 
 _WORD = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
@@ -134,7 +136,12 @@ class Network:
         self.c -= rate * z.sum(0)
         self.w -= rate * (x.T @ back)
         self.b -= rate * back.sum(0)
-        np.subtract.at(self.e, context.reshape(-1), rate * gx)
+        # each word's rows are added up first
+        context = context.reshape(-1)
+        order = np.argsort(context, kind="stable")
+        context = context[order]
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+        self.e[context[first]] -= rate * np.add.reduceat(gx[order], first, axis=0)
 
 
 def _ids(text: str | None, number: dict) -> np.ndarray:
@@ -142,35 +149,41 @@ def _ids(text: str | None, number: dict) -> np.ndarray:
     return np.array([k if (k := get(w)) is not None else _class(w) for w in words(text)], np.int32)
 
 
-def _windows(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    edge = np.full(SIDE, VOCABULARY - 1, np.int32)
-    padded = np.concatenate([edge, ids, edge])
-    return padded[places[:, None] + np.r_[0:SIDE, SIDE + 1 : 2 * SIDE + 1]]
-
-
-def windows(docs: DataFrame, vocab: dict) -> DataFrame:
-    """(n, packed): the windows to train on, both sides and the word, a byte each."""
+def lines(docs: DataFrame, vocab: dict) -> DataFrame:
+    """(doc_ids, n, line): the numbers of the words of several texts, a gap of SIDE before and after each."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab["number"])
 
     def run(batches):
+        gap = np.full(SIDE, VOCABULARY - 1, NUMBER)
         for batch in batches:
-            for part in common.runs(batch):
-                held = []
-                for text in part.column("text").to_pylist():
-                    ids = _ids(text, shared.value)
-                    places = np.arange(len(ids) % STRIDE, len(ids), STRIDE)
-                    if len(places):
-                        held.append(np.c_[_windows(ids, places), ids[places]].astype(np.uint8))
-                if held:
-                    yield pa.RecordBatch.from_pydict({"n": pa.array([sum(map(len, held))], pa.int64()), "packed": pa.array([np.concatenate(held).tobytes()], pa.binary())})
+            for part in common.runs(batch, limit=common.RUN_BYTES // 2):
+                ids = [_ids(t, shared.value) for t in part.column("text").to_pylist()]
+                line = np.concatenate([x for i in ids for x in (gap, i.astype(NUMBER))] + [gap])
+                yield pa.RecordBatch.from_pydict({"doc_ids": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), "n": pa.array([list(map(len, ids))], pa.list_(pa.int64())), "line": pa.array([line.tobytes()], pa.binary())})
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_ids array<long>, n array<long>, line binary")
+
+
+def _places(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each place, and where the place is in the line."""
+    own = np.repeat(np.arange(len(n)), n)
+    return own, np.arange(len(own)) + SIDE * (own + 1)
 
-    return docs.select("text").mapInArrow(run, "n long, packed binary")
+
+def _turn(n: np.ndarray, turn: int, turns: int) -> np.ndarray:
+    """The places in a line that a round trains on, in random order; each place is in one of the rounds."""
+    at = _places(n)[1]
+    return at[np.random.default_rng(SEED).permutation(len(at))[turn::turns]]
 
 
 def train(docs: DataFrame, vocab: dict, rates: tuple = RATES) -> np.ndarray:
     """The parameters, as one vector."""
-    spark = docs.sparkSession
-    made = cut(windows(docs, vocab))
+    return descend(cut(lines(docs, vocab)), vocab, rates)
+
+
+def descend(made: DataFrame, vocab: dict, rates: tuple = RATES) -> np.ndarray:
+    """The parameters, trained on `lines`."""
+    spark, turns = made.sparkSession, len(rates)
     groups = max(1, int(np.sqrt(max(1, made.rdd.getNumPartitions()))))
     net = Network()
     net.c[:] = vocab["log_p"]
@@ -184,12 +197,12 @@ def train(docs: DataFrame, vocab: dict, rates: tuple = RATES) -> np.ndarray:
             start, rate, turn = shared.value
             net, seen = Network(start), 0
             for batch in batches:
-                for packed in batch.column("packed"):
-                    w = np.frombuffer(packed.as_py(), np.uint8).reshape(-1, 2 * SIDE + 1).astype(np.int32)
-                    w = w[np.random.default_rng(SEED + turn).permutation(len(w))]
-                    for i in range(0, len(w), BATCH):
-                        net.step(w[i : i + BATCH, :-1], w[i : i + BATCH, -1], rate * min(1.0, len(w[i : i + BATCH]) / BATCH))
-                    seen += len(w)
+                for n, packed in zip(batch.column("n").to_pylist(), batch.column("line")):
+                    line, at = np.frombuffer(packed.as_py(), NUMBER), _turn(np.array(n, np.int64), turn, turns)
+                    for i in range(0, len(at), BATCH):
+                        here = at[i : i + BATCH]
+                        net.step(line[here[:, None] + SIDES], line[here], rate * min(1.0, len(here) / BATCH))
+                    seen += len(at)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([seen], pa.int64()), pa.array([(net.flat * np.float32(seen)).tobytes()], pa.binary())], names=["g", "seen", "sum"])
 
@@ -207,30 +220,30 @@ def train(docs: DataFrame, vocab: dict, rates: tuple = RATES) -> np.ndarray:
 
 def score(docs: DataFrame, vocab: dict, flat: np.ndarray) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_p) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, flat))
+    return score_lines(lines(docs, vocab), vocab, flat)
+
+
+def score_lines(made: DataFrame, vocab: dict, flat: np.ndarray) -> DataFrame:
+    """The same for the texts of `lines`."""
+    shared = made.sparkSession.sparkContext.broadcast((vocab["share"], flat))
 
     def run(batches):
-        vocab, flat = shared.value
+        share, flat = shared.value
         net = Network(flat)
         for batch in batches:
-            for part in common.runs(batch, limit=common.RUN_BYTES // 2):
-                ids = [_ids(t, vocab["number"]) for t in part.column("text").to_pylist()]
-                n = np.fromiter(map(len, ids), np.int64, len(ids))
-                gap = np.full(SIDE, VOCABULARY - 1, np.int32)
-                line = np.concatenate([x for i in ids for x in (gap, i)] + [gap])
-                own = np.repeat(np.arange(len(ids)), n)
-                at = np.arange(len(own)) + SIDE * (own + 1)
-                sides = np.r_[-SIDE:0, 1 : SIDE + 1]
+            for ids, n, packed in zip(batch.column("doc_ids"), batch.column("n").to_pylist(), batch.column("line")):
+                n, line = np.array(n, np.int64), np.frombuffer(packed.as_py(), NUMBER)
+                own, at = _places(n)
                 p = np.zeros(len(own))
                 for i in range(0, len(own), 8192):
                     here = at[i : i + 8192]
                     target = line[here]
-                    p[i : i + 8192] = net.log_p(line[here[:, None] + sides], target) + vocab["share"][target]
-                total = np.bincount(own, p, minlength=len(ids))
+                    p[i : i + 8192] = net.log_p(line[here[:, None] + SIDES], target) + share[target]
+                total = np.bincount(own, p, minlength=len(n))
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_p"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), pa.int64()), pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_p"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_p double")
+    return made.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_p double")
 
 
 SQL = None
@@ -239,4 +252,5 @@ SQL = None
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     vocab = vocabulary(docs)
-    return score(docs, vocab, train(docs, vocab))
+    made = cut(lines(docs, vocab))
+    return score_lines(made, vocab, descend(made, vocab))

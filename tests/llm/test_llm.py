@@ -366,3 +366,18 @@ def test_pipeline_near_copies(spark):
     like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     assert 0.8 <= like(1, 2) < 0.85 and like(1, 3) < 0.8 and like(2, 3) < 0.8
     assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs(spark, rows), "").collect()) == [1, 3, 4]
+
+
+def test_lm_trains_on_every_place(spark):
+    n = np.array([0, 1, 5, 0, 40, 2])
+    own, at = lm_score._places(n)
+    dealt = np.concatenate([lm_score._turn(n, k, 3) for k in range(3)])
+    assert len(at) == n.sum() and sorted(dealt) == sorted(at) and np.bincount(own, minlength=6).tolist() == n.tolist()
+    # texts of a few words train the network too
+    df = docs(spark, [(i, "the cat sat") for i in range(300)] + [(300 + i, "a dog ran") for i in range(300)] + [(900, "the dog sat")])
+    vocab = lm_score.vocabulary(df)
+    made = {x.doc_id: x.mean_log_p for x in lm_score.score(df, vocab, lm_score.train(df, vocab, rates=(1.0,) * 3)).collect()}
+    start = lm_score.Network()
+    start.c[:] = vocab["log_p"]
+    before = {x.doc_id: x.mean_log_p for x in lm_score.score(df, vocab, start.flat).collect()}
+    assert made[0] > before[0] + 0.005
