@@ -1,15 +1,16 @@
 """Masked pseudo-likelihood with a bidirectional window network.
 
-Words are counted over all documents; the most frequent form the vocabulary, every other word falls into a class by
-its length and last letter. A network with one hidden layer sees the embeddings of SIDE words on either side of a
+Words are counted over all documents. The WORDS most frequent are predicted directly; the next CLUSTERS * MEMBERS are cut
+by frequency in clusters, and the network predicts the cluster and, from the same context, the word in it. Words beyond
+this vocabulary (a bound: 32,959 words, whatever the corpus) fall into a class by their length and last letter. A network with one hidden layer sees the embeddings of SIDE words on either side of a
 place, never the word there, and predicts that word. It is trained in numpy on every place of every whole text, from
 words' numbers gathered once in packed form: the rounds deal all places out among themselves, so that each is trained
 on once; in a round every task runs minibatch descent over its own places, and the tasks' parameters are averaged, weighted by places. A document's score is the
 sum over all its places of log p(word | both sides); for a word of a class, the class is predicted and its share of
-the class, smoothed, is a constant of the corpus.
+the class, one of its distinct words, is a constant of the corpus.
 
-Parameters are a few hundred KB whatever the data; averaging is done in two steps, so neither a task nor the driver
-receives more than about the square root of the number of tasks.
+Parameters are 6.5 MB whatever the data; averaging is done in two steps, so a task adds up about the square root of the
+number of tasks, and the driver as many, one after another.
 
 Defined results: null or wordless text has no places, score 0 and mean null; unknown words are scored by their class;
 an empty table gives no rows.
@@ -29,14 +30,20 @@ from arcwright.plans.loops import cut
 SIDE = 3
 WORDS = 191
 CLASSES = 64
-VOCABULARY = WORDS + CLASSES + 1  # and one for places beyond the text
+EDGE = WORDS + CLASSES  # for places beyond the text
+CLUSTERS, MEMBERS = 64, 512
+HEAD = EDGE + 1 + CLUSTERS
+TAIL = EDGE + 1  # the number of the first word of the first cluster
+VOCABULARY = TAIL + CLUSTERS * MEMBERS
+#: Log weight of a member or cluster that no word has.
+NONE = -20.0
 EMBED, HIDDEN = 16, 32
 #: Steps of descent, round by round.
 RATES = (1.0, 0.7, 0.4)
-BATCH = 512
+BATCH = 1024
 SIDES = np.r_[-SIDE:0, 1 : SIDE + 1]
 #: A word's number in a line.
-NUMBER = np.uint8
+NUMBER = np.uint16
 SEED = 71
 
 _WORD = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
@@ -77,26 +84,37 @@ def _class(word: str) -> int:
 
 
 def vocabulary(docs: DataFrame) -> dict:
-    """The frequent words' numbers, log of a word's smoothed share of its class, and log frequencies, where training starts."""
-    common.small_batches(docs.sparkSession)
+    """The words' numbers, log of a word's share of its class, and log frequencies, where training starts."""
+    spark = common.small_batches(docs.sparkSession)
     c = cut(counts(docs))
-    top = c.orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    top = c.orderBy(F.desc("n"), "word").limit(WORDS + CLUSTERS * MEMBERS).collect()
+    number = {r.word: i if i < WORDS else TAIL + i - WORDS for i, r in enumerate(top)}
     last = F.ascii(F.right("word", F.lit(1)))
     group = F.pmod(last * 4 + F.least(F.floor(F.length("word") / 4), F.lit(3)), F.lit(CLASSES)).alias("k")
-    rest = c.where(~F.col("word").isin([r.word for r in top])).groupBy(group).agg(F.count("*").alias("words"), F.sum("n").alias("n"))
-    share, seen = np.zeros(VOCABULARY), np.ones(VOCABULARY)
+    beyond = c.join(F.broadcast(spark.createDataFrame([(w,) for w in number], "word string")), "word", "left_anti")
+    rest = beyond.groupBy(group).agg(F.count("*").alias("words"), F.sum("n").alias("n"))
+    share, seen = np.zeros(VOCABULARY), np.ones(HEAD)
+    members = np.zeros(CLUSTERS * MEMBERS)
     for i, r in enumerate(top):
-        seen[i] += r.n
+        if i < WORDS:
+            seen[i] += r.n
+        else:
+            members[i - WORDS] = r.n
     for r in rest.collect():
         share[WORDS + r.k] = -np.log(r.words + 1.0)
         seen[WORDS + r.k] += r.n
-    return {"number": {r.word: i for i, r in enumerate(top)}, "share": share, "log_p": np.log(seen / seen.sum()).astype(np.float32)}
+    members = members.reshape(CLUSTERS, MEMBERS)
+    seen[TAIL:] = members.sum(1)
+    log = lambda x, total: np.where(x > 0, np.log(np.maximum(x, 1) / np.maximum(total, 1)), NONE).astype(np.float32)
+    return {"number": number, "share": share, "log_p": log(seen, seen.sum()), "log_members": log(members, members.sum(1, keepdims=True))}
 
 
 class Network:
     """Parameters as one flat vector, so that averages are plain sums."""
 
-    SHAPES = [("e", (VOCABULARY, EMBED)), ("w", (2 * SIDE * EMBED, HIDDEN)), ("b", (HIDDEN,)), ("v", (HIDDEN, VOCABULARY)), ("c", (VOCABULARY,))]
+    SHAPES = [("e", (VOCABULARY, EMBED)), ("w", (2 * SIDE * EMBED, HIDDEN)), ("b", (HIDDEN,)), ("v", (HIDDEN, HEAD)), ("c", (HEAD,))]
+    #: The words of each cluster.
+    SHAPES += [("vt", (CLUSTERS, HIDDEN, MEMBERS)), ("ct", (CLUSTERS, MEMBERS))]
 
     def __init__(self, flat: np.ndarray | None = None):
         size = sum(int(np.prod(s)) for _, s in self.SHAPES)
@@ -118,19 +136,54 @@ class Network:
         z -= z.max(axis=1, keepdims=True)
         return x, h, z
 
+    @staticmethod
+    def _clusters(target: np.ndarray):
+        """What the head predicts for each target, and each cluster with its rows and their members."""
+        target = target.astype(np.int64)
+        tail = np.flatnonzero(target >= TAIL)
+        cluster, member = np.divmod(target[tail] - TAIL, MEMBERS)
+        target[tail] = TAIL + cluster
+        order = np.argsort(cluster, kind="stable")
+        tail, cluster, member = tail[order], cluster[order], member[order]
+        ends = np.flatnonzero(np.r_[cluster[1:] != cluster[:-1], True]) + 1 if len(tail) else []
+        return target, [(cluster[a], tail[a:b], member[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, _, z = self._forward(context)
+        _, h, z = self._forward(context)
+        target, clusters = self._clusters(target)
         own = z[np.arange(len(target)), target].astype(np.float64)
         np.exp(z, out=z)
-        return own - np.log(z.sum(axis=1))
+        own -= np.log(z.sum(axis=1))
+        for k, rows, member in clusters:
+            z = h[rows] @ self.vt[k]
+            z += self.ct[k]
+            z -= z.max(axis=1, keepdims=True)
+            own[rows] += z[np.arange(len(rows)), member]
+            np.exp(z, out=z)
+            own[rows] -= np.log(z.sum(axis=1))
+        return own
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         x, h, z = self._forward(context)
+        target, clusters = self._clusters(target)
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
         z[np.arange(len(target)), target] -= 1
         z /= len(target)
-        back = (z @ self.v.T) * (1 - h * h)
+        gh = z @ self.v.T
+        for k, rows, member in clusters:
+            own = h[rows]
+            y = own @ self.vt[k]
+            y += self.ct[k]
+            y -= y.max(axis=1, keepdims=True)
+            np.exp(y, out=y)
+            y /= y.sum(axis=1, keepdims=True) * len(target)
+            y[np.arange(len(rows)), member] -= 1 / len(target)
+            gh[rows] += y @ self.vt[k].T
+            y *= rate
+            self.vt[k] -= own.T @ y
+            self.ct[k] -= y.sum(0)
+        back = gh * (1 - h * h)
         gx = (back @ self.w.T).reshape(-1, EMBED)
         self.v -= rate * (h.T @ z)
         self.c -= rate * z.sum(0)
@@ -154,7 +207,7 @@ def lines(docs: DataFrame, vocab: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocab["number"])
 
     def run(batches):
-        gap = np.full(SIDE, VOCABULARY - 1, NUMBER)
+        gap = np.full(SIDE, EDGE, NUMBER)
         for batch in batches:
             for part in common.runs(batch, limit=common.RUN_BYTES // 2):
                 ids = [_ids(t, shared.value) for t in part.column("text").to_pylist()]
@@ -176,6 +229,13 @@ def _turn(n: np.ndarray, turn: int, turns: int) -> np.ndarray:
     return at[np.random.default_rng(SEED).permutation(len(at))[turn::turns]]
 
 
+def _sum(vectors) -> np.ndarray:
+    total = np.zeros(Network().flat.size)
+    for x in vectors:
+        total += np.frombuffer(x, np.float32)
+    return total
+
+
 def train(docs: DataFrame, vocab: dict, rates: tuple = RATES) -> np.ndarray:
     """The parameters, as one vector."""
     return descend(cut(lines(docs, vocab)), vocab, rates)
@@ -186,7 +246,7 @@ def descend(made: DataFrame, vocab: dict, rates: tuple = RATES) -> np.ndarray:
     spark, turns = made.sparkSession, len(rates)
     groups = max(1, int(np.sqrt(max(1, made.rdd.getNumPartitions()))))
     net = Network()
-    net.c[:] = vocab["log_p"]
+    net.c[:], net.ct[:] = vocab["log_p"], vocab["log_members"]
     flat = net.flat
     for turn, rate in enumerate(rates):
         shared = spark.sparkContext.broadcast((flat, rate, turn))
@@ -207,14 +267,14 @@ def descend(made: DataFrame, vocab: dict, rates: tuple = RATES) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([seen], pa.int64()), pa.array([(net.flat * np.float32(seen)).tobytes()], pa.binary())], names=["g", "seen", "sum"])
 
         def add(t: pa.Table) -> pa.Table:
-            total = np.sum([np.frombuffer(x, np.float32) for x in t.column("sum").to_pylist()], axis=0, dtype=np.float64)
-            return pa.table({"seen": [sum(t.column("seen").to_pylist())], "sum": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+            total = _sum(x.as_py() for x in t.column("sum"))
+            return pa.table({"g": t.column("g")[:1], "seen": [sum(t.column("seen").to_pylist())], "sum": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        parts = made.mapInArrow(run, "g int, seen long, sum binary").groupBy("g").applyInArrow(add, "seen long, sum binary").collect()
-        if not parts:
+        parts = cut(made.mapInArrow(run, "g int, seen long, sum binary").groupBy("g").applyInArrow(add, "g int, seen long, sum binary"))
+        seen = sum(r.seen for r in parts.select("seen").collect())
+        if not seen:
             return flat
-        parts.sort(key=lambda r: (r.seen, bytes(r.sum)))
-        flat = (np.sum([np.frombuffer(r.sum, np.float32) for r in parts], axis=0, dtype=np.float64) / sum(r.seen for r in parts)).astype(np.float32)
+        flat = (_sum(r.sum for r in parts.orderBy("g").select("sum").toLocalIterator()) / seen).astype(np.float32)
     return flat
 
 

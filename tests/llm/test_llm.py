@@ -381,3 +381,26 @@ def test_lm_trains_on_every_place(spark):
     start.c[:] = vocab["log_p"]
     before = {x.doc_id: x.mean_log_p for x in lm_score.score(df, vocab, start.flat).collect()}
     assert made[0] > before[0] + 0.005
+
+
+def test_lm_words_beyond_the_most_frequent(spark):
+    # 300 words of one length and last letter, so one class; all but 191 are in clusters
+    word = [f"{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{i // 676}e" for i in range(300)]
+    df = docs(spark, [(i, " ".join(word)) for i in range(20)] + [(900, f"{word[0]} {word[250]}"), (901, f"{word[0]} zz9e"), (902, None)])
+    vocab = lm_score.vocabulary(df.where("doc_id < 900"))
+    assert all(w in vocab["number"] for w in word) and vocab["number"][word[250]] > lm_score.WORDS
+    net = lm_score.Network()
+    net.c[:], net.ct[:] = vocab["log_p"], vocab["log_members"]
+    made = {x.doc_id: x.log_likelihood for x in lm_score.score(df, vocab, net.flat).collect()}
+    assert made[900] > made[901] + 1 and made[902] == 0
+    # the word within its cluster is predicted from the context
+    a, b = lm_score.TAIL + 700, lm_score.TAIL + 701
+    context, target = np.array([[1] * 6, [2] * 6]), np.array([a, b])
+    for _ in range(300):
+        net.step(context, target, 0.5)
+    right, wrong = net.log_p(context, target), net.log_p(context, target[::-1])
+    assert (right > wrong + 1).all()
+    # of more words than the vocabulary, those beyond it keep their class
+    many = docs(spark, [(1, " ".join(f"{i}x" for i in range(lm_score.WORDS + lm_score.CLUSTERS * lm_score.MEMBERS + 500)))])
+    vocab = lm_score.vocabulary(many)
+    assert len(vocab["number"]) == lm_score.WORDS + lm_score.CLUSTERS * lm_score.MEMBERS and np.isclose(np.exp(-vocab["share"][lm_score.WORDS : lm_score.EDGE]).sum() - 64, 500)
