@@ -9,8 +9,8 @@ Training takes at most SAMPLE labelled documents a class (a documented bound, th
 BLOCKS blocks of each for the dictionaries; scoring reads every text whole.
 
 Defined results: null text scores as the empty text; labels that are null or without document are ignored; of several
-labels of one document the smallest counts; without labels of both kinds every score is the share of label 1 (0.5
-without any); an empty table gives no rows.
+labels of one document the smallest counts; without two documents of each kind every score is the share of label 1 (0.5
+without any), and `keep_good` keeps all documents, since nothing was learned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,6 +86,12 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for q in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
     sample = cut(sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")))
+    # a class that the hash puts in one half is dealt to both
+    halves = {(r.quality, r.half) for r in sample.select("quality", "half").distinct().collect()}
+    for q in (0, 1):
+        if ((q, 0) in halves) != ((q, 1) in halves):
+            ids = sorted(r.doc_id for r in sample.where(F.col("quality") == q).select("doc_id").distinct().collect())
+            sample = sample.withColumn("half", F.when(F.col("quality") == q, F.col("doc_id").isin(ids[1::2]).cast("int")).otherwise(F.col("half")))
 
     def pick(batches):
         for b in batches:
@@ -140,9 +146,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The documents that score at least `accept`, all columns."""
-    columns = docs.columns
+    columns, model = docs.columns, train(docs, labels)
+    if "constant" in model:
+        return docs
     renamed = docs.withColumnRenamed("score", "_score") if "score" in columns else docs
-    out = score(renamed, train(docs, labels)).where(F.col("score") >= accept).drop("score")
+    out = score(renamed, model).where(F.col("score") >= accept).drop("score")
     return out.toDF(*columns)
 
 

@@ -404,3 +404,16 @@ def test_lm_words_beyond_the_most_frequent(spark):
     many = docs(spark, [(1, " ".join(f"{i}x" for i in range(lm_score.WORDS + lm_score.CLUSTERS * lm_score.MEMBERS + 500)))])
     vocab = lm_score.vocabulary(many)
     assert len(vocab["number"]) == lm_score.WORDS + lm_score.CLUSTERS * lm_score.MEMBERS and np.isclose(np.exp(-vocab["share"][lm_score.WORDS : lm_score.EDGE]).sum() - 64, 500)
+
+
+def test_quality_without_a_classifier(spark):
+    good, bad = prose(10, 12), [(1000 + i, "!! ".join(t.upper().split())) for i, t in prose(11, 12)]
+    df = docs(spark, good + bad)
+    for has in ([], [(1, 0)], [(1, 1), (1000, 0)], [(1, 1), (2, 0), (3, 0)]):
+        labels = spark.createDataFrame(has, "doc_id long, quality int")
+        assert quality.keep_good(df, labels).count() == len(good + bad)
+    # both labels of each class in one half by their hash
+    half = {r.doc_id: r.half for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).alias("half")).collect()}
+    same = lambda rows, h: [i for i, _ in rows if half[i] == h][:2]
+    few = [(i, 1) for i in same(good, 0)] + [(i, 0) for i in same(bad, 1)]
+    assert len(few) == 4 and "logistic" in quality.train(df, spark.createDataFrame(few, "doc_id long, quality int"))
