@@ -140,25 +140,25 @@ def shared_prefixes(docs: DataFrame, n: int, threshold: int) -> DataFrame:
             many = np.bincount(group, minlength=0)[group] > 1 if len(hashes) else first
             counts = np.bincount(own[many], minlength=len(sets))
             # one row for each hash; that of a hash met twice here needs no answer
-            hashes, sender = hashes[first], np.where(many[first], -1, ids[own[first]])
+            hashes, sender, asks = hashes[first], ids[own[first]], ~many[first]
             to = ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
             order = np.argsort(to, kind="stable")
-            hashes, sender, to = hashes[order], sender[order], to[order]
+            hashes, sender, asks, to = hashes[order], sender[order], asks[order], to[order]
             ends = np.searchsorted(to, np.arange(buckets + 1))
-            rows = [(int(ids[0]) % buckets, None, None, ids.tobytes(), sizes.tobytes(), counts.astype(np.int64).tobytes())]
-            rows += [(k, hashes[a:b].astype(np.uint32).tobytes(), sender[a:b].tobytes(), None, None, None) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 5])], names=["bucket", "hashes", "senders", "ids", "sizes", "counts"])
+            rows = [(int(ids[0]) % buckets, None, None, None, ids.tobytes(), sizes.tobytes(), counts.astype(np.int64).tobytes())]
+            rows += [(k, hashes[a:b].astype(np.uint32).tobytes(), sender[a:b].tobytes(), asks[a:b].tobytes(), None, None, None) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 6])], names=["bucket", "hashes", "senders", "asks", "ids", "sizes", "counts"])
         common.release()
 
     join = _join
 
     def meet(t: pa.Table) -> pa.Table:
-        hashes, senders = join(t, "hashes", np.uint32), join(t, "senders", np.int64)
+        hashes, senders, asks = join(t, "hashes", np.uint32), join(t, "senders", np.int64), join(t, "asks", bool)
         order = np.argsort(hashes, kind="stable")
-        hashes, senders = hashes[order], senders[order]
+        hashes, senders, asks = hashes[order], senders[order], asks[order]
         same = hashes[1:] == hashes[:-1]
         many = np.r_[False, same] | np.r_[same, False] if len(hashes) else np.zeros(0, bool)
-        met, times = np.unique(senders[many & (senders >= 0)], return_counts=True)
+        met, times = np.unique(senders[many & asks], return_counts=True)
         ids = join(t, "ids", np.int64)
         # answers go to the documents' own buckets, packed like the questions
         ids, sizes, counts = np.r_[ids, met], np.r_[join(t, "sizes", np.int64), np.full(len(met), -1)], np.r_[join(t, "counts", np.int64), times]
@@ -175,7 +175,7 @@ def shared_prefixes(docs: DataFrame, n: int, threshold: int) -> DataFrame:
         met = np.bincount(at, join(t, "counts", np.int64), minlength=len(ids)).astype(np.int64)
         return pa.table({"doc_id": ids, "n_shingles": sizes, "met": met})
 
-    packed = docs.select("doc_id", "text").mapInArrow(pack, "bucket int, hashes binary, senders binary, ids binary, sizes binary, counts binary")
+    packed = docs.select("doc_id", "text").mapInArrow(pack, "bucket int, hashes binary, senders binary, asks binary, ids binary, sizes binary, counts binary")
     parts = packed.groupBy("bucket").applyInArrow(meet, "home int, ids binary, sizes binary, counts binary")
     every = parts.groupBy("home").applyInArrow(add, "doc_id long, n_shingles long, met long")
     least = F.floor(F.floor((threshold * F.col("n_shingles") + 99) / 100) / 10)

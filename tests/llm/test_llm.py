@@ -417,3 +417,9 @@ def test_quality_without_a_classifier(spark):
     same = lambda rows, h: [i for i, _ in rows if half[i] == h][:2]
     few = [(i, 1) for i in same(good, 0)] + [(i, 0) for i in same(bad, 1)]
     assert len(few) == 4 and "logistic" in quality.train(df, spark.createDataFrame(few, "doc_id long, quality int"))
+
+
+def test_jaccard_negative_ids(spark):
+    rows = [(i - 150, t) for i, t in near(5, 75)]
+    made = jaccard_join.components(docs(spark, rows).repartition(8)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in made} == brute_components(rows)
