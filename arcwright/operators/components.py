@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from arcwright.operators import kernels
 from arcwright.plans.loops import cut
 
 
@@ -12,19 +13,17 @@ def _signature(edges: DataFrame) -> tuple:
     return r.n, r.h
 
 
-def min_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def min_labels(edges: DataFrame) -> DataFrame:
     """(v, component) for every vertex on an edge (u, v); component is the smallest vertex reachable.
 
     Every round links each vertex's neighbours to the smallest of them, so path lengths shrink
-    geometrically and the edge count never exceeds that of the input. Self-loops, nulls and
-    repeated edges are ignored.
+    geometrically and the edge count never exceeds that of the input. Rounds go on until nothing changes.
+    Self-loops, nulls and repeated edges are ignored.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = cut(e)
     before = _signature(e)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -51,6 +50,9 @@ def components(g) -> DataFrame:
 
 def labels(g) -> DataFrame:
     """(v, component): component is its smallest vertex; isolated vertices are their own."""
+    if g.local:
+        shared = g.local
+        return kernels.once(g.edges.sparkSession, lambda: kernels.component_labels(shared.value), "v long, component long")
     found = min_labels(g.edges.select("u", "v"))
     return g.vertices.join(found, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
 
