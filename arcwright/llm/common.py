@@ -76,6 +76,18 @@ def release() -> None:
         pass
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until no column has it, whatever its case."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name = f"_{name}"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+# Shifts and factors of the public 64-bit finaliser.
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, in place on a fresh array."""
     x = x ^ (x >> np.uint64(30))
@@ -89,14 +101,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 # --- Bloom filters -------------------------------------------------------------------------
 
 BLOOM_HASHES = 4
-#: Bits of the largest filter that is broadcast: 32 MB. With more keys it stays right and only lets more rows through.
+#: Bits of the largest filter that is broadcast: 32 MB. Filters of more keys are built and asked in parts, a range of hashes each.
 BLOOM_MAX_BITS = 1 << 28
+BLOOM_PER_KEY = 16
 _SLICE_BITS = 1 << 19
 
 
-def bloom_bits(keys: int, per_key: int = 16) -> int:
-    """A power of two with at least `per_key` bits a key, within the bound."""
-    return min(BLOOM_MAX_BITS, 1 << max(13, int(np.ceil(np.log2(max(1, keys) * per_key)))))
+def bloom_bits(keys: int) -> int:
+    """A power of two with at least BLOOM_PER_KEY bits a key, within the bound."""
+    return min(BLOOM_MAX_BITS, 1 << max(13, int(np.ceil(np.log2(max(1, keys) * BLOOM_PER_KEY)))))
+
+
+def bloom_parts(keys: int) -> int:
+    """How many filters of the bound hold so many keys."""
+    return max(1, -(-keys * BLOOM_PER_KEY // BLOOM_MAX_BITS))
 
 
 def bloom_positions(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -173,20 +191,21 @@ class Encoder:
     A byte-level vocabulary first cuts a text into pieces by a fixed pattern and encodes each piece alone, so
     a piece is encoded by the library once, kept (at most about `limit` of them, those met most) and looked up after that.
     The pattern is applied here only to texts of printable ASCII, line ends, tabs and Latin letters, where
-    Python's character classes agree with the vocabulary's; any other text goes to the library whole.
+    Python's character classes agree with the vocabulary's, and without a token that was added to the vocabulary;
+    any other text goes to the library whole.
     """
 
     def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.limit = limit
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         # the same model, given pieces that are cut and written in its alphabet already
         self.pieces = Tokenizer.from_file(path)
-        self.pieces.encode_special_tokens = True
         self.pieces.pre_tokenizer = pre_tokenizers.Split(_ALPHABET[10], "isolated")
         self.alphabet = dict(enumerate(_ALPHABET))
         (self.line_end,) = self._encode(["\n"])[0]
@@ -260,7 +279,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.zeros(0, np.uint32)
-            elif not _sure(text):
+            elif not _sure(text) or self.added(text):
                 out[i] = np.asarray(self._encode([text])[0], np.uint32)
             else:
                 cut_ = (_PIECES_ASCII if text.isascii() else _PIECES).findall(text)
