@@ -7,7 +7,9 @@ groups, of which there are fewer than HOT_GROUPS, get their group from a broadca
 
 Defined results: null text counts as empty, and empty texts equal one another; rows that repeat both text and id
 count as members of one group, of which one row is marked kept; a null id sorts first; an empty table gives no rows.
-The filter is at most 32 MB, so it may be broadcast; beyond its capacity more rows shuffle and the result is the same.
+`deduplicate` keeps, of rows equal in id and normalised text, the one whose raw text is smallest; columns of any name pass through.
+A filter is at most 32 MB, so it may be broadcast; more hashes than it can hold are tested in parts, a range of hashes
+each, one filter after another.
 """
 
 from __future__ import annotations
@@ -35,15 +37,26 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def _tested(d: DataFrame) -> DataFrame:
-    bits = common.bloom_bits(d.count())
-    filter_ = d.sparkSession.sparkContext.broadcast(common.bloom_build(d.select("key"), bits, twice=True))
-
-    def test(batches):
-        for b in batches:
-            has = common.bloom_has(filter_.value, bits, np.asarray(b.column("key"))) if b.num_rows else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), b.column("row"), pa.array(has, pa.bool_())], names=["doc_id", "sha", "row", "maybe"])
-
-    return d.mapInArrow(test, "doc_id long, sha binary, row long, maybe boolean")
+    """(doc_id, sha, row, maybe), one filter for each part of the hashes."""
+    rows = d.count()
+    parts = common.bloom_parts(rows)
+    bits, out = common.bloom_bits(-(-rows // parts)), None
+    part = F.pmod(F.shiftright("key", 40), F.lit(parts))
+    for k in range(parts):
+        own = d if parts == 1 else d.where(part == k)
+        filter_ = d.sparkSession.sparkContext.broadcast(common.bloom_build(own.select("key"), bits, twice=True))
+
+        def test(batches, filter_=filter_):
+            for b in batches:
+                has = common.bloom_has(filter_.value, bits, np.asarray(b.column("key"))) if b.num_rows else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), b.column("row"), pa.array(has, pa.bool_())], names=["doc_id", "sha", "row", "maybe"])
+
+        made = own.mapInArrow(test, "doc_id long, sha binary, row long, maybe boolean")
+        if parts > 1:  # before the next filter is built
+            made = cut(made)
+            filter_.destroy()
+        out = made if out is None else out.union(made)
+    return out
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -92,15 +105,16 @@ def without(docs: DataFrame, gone: DataFrame, once: DataFrame) -> DataFrame:
 
         return pd.Series(common.bloom_has(filter_.value, bits, ids.to_numpy(np.int64)))
 
-    flagged = docs.withColumn("_maybe", maybe(F.coalesce("doc_id", F.lit(-1).cast("long"))))
-    sure = flagged.where("not _maybe").drop("_maybe")
-    rest = flagged.where("_maybe").drop("_maybe").withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    g = gone.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone"))
-    rest = rest.join(g, F.expr("doc_id <=> _id and _sha = _gone"), "left_anti")
-    o = once.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_once"))
-    both = rest.join(o, F.expr("doc_id <=> _id and _sha = _once"), "left")
-    single = both.where("_once is null").select(*docs.columns)
-    multiple = both.where("_once is not null").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    flag, sha, id_, lost, twice = common.fresh(docs.columns, "maybe", "sha", "id", "gone", "once")
+    flagged = docs.withColumn(flag, maybe(F.coalesce("doc_id", F.lit(-1).cast("long"))))
+    sure = flagged.where(~F.col(flag)).drop(flag)
+    rest = flagged.where(flag).drop(flag).withColumn(sha, F.sha2(normalised(F.col("text")), 256))
+    same = lambda other: F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(sha) == F.col(other))
+    rest = rest.join(gone.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(lost)), same(lost), "left_anti")
+    both = rest.join(once.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(twice)), same(twice), "left")
+    single = both.where(F.col(twice).isNull()).select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    multiple = both.where(F.col(twice).isNotNull()).groupBy("doc_id", sha).agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias(flag)).select(f"{flag}.*")
     return sure.union(single).union(multiple)
 
 
