@@ -17,8 +17,9 @@ below once in 10**8 distinct shingles, is the only source of error).
    and every pair of blocks is a task. A task gives back a spanning forest of its links, no lists of pairs.
 
 Defined results: null, empty or wordless text has the empty set and links with nothing; fewer words than n make one
-shingle; rows that repeat an id count as one document with the links of each; rows without an id have no row in `components`
-and stay in `one_of_each`; an empty table gives no rows.
+shingle; in `components` rows that repeat an id count as one document with the links of each, in `one_of_each` each is judged by
+itself; rows without an id have no row in `components` and stay in `one_of_each`; an empty table gives no rows; columns of any
+name pass through `one_of_each`.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ BLOCK_CLASSES = 1500
 BLOCK_LEAST = 300
 #: Sizes beyond this are heavy whatever the histogram says: their 2-subsets outnumber any list.
 LARGEST_LIGHT = 400
+#: A list is large with more than HOT_ROWS rows and more than one in HOT_LISTS of all rows.
+HOT_LISTS = 1000
+HOT_ROWS = 1000
 #: Bytes of text hashed at a time; hashing takes about sixty times as much memory for a moment.
 RUN = 512 << 10
 
@@ -246,8 +250,14 @@ def candidates(reps: DataFrame, threshold: int) -> DataFrame:
     pairs = F.flatten(F.transform("two", lambda x, i: F.transform(F.slice("two", i + 2, F.size("two")), lambda y: F.xxhash64(x, y))))
     subsets = ordered.where((n <= light) & (F.size("two") > 1)).select("rep", F.explode(pairs).alias("sig"))
     met = lists.union(subsets)
-    firsts = met.groupBy("sig").agg(F.min("rep").alias("v"), F.count("*").alias("c")).where("c > 1").select("sig", "v")
-    return met.join(firsts, "sig").select(F.col("rep").alias("u"), "v").where("u <> v").distinct()
+    firsts = cut(met.groupBy("sig").agg(F.min("rep").alias("v"), F.count("*").alias("c")).where("c > 1"))
+    # lists that hold more than their share of all rows, fewer than HOT_LISTS of them, are broadcast and meet in no task
+    most = max(HOT_ROWS, (firsts.agg(F.sum("c")).first()[0] or 0) // HOT_LISTS)
+    large = firsts.where(F.col("c") > most).select("sig", F.col("v").alias("first"))
+    flagged = met.join(F.broadcast(large), "sig", "left")
+    edges = flagged.where("first is not null").select(F.col("rep").alias("u"), F.col("first").alias("v"))
+    rest = flagged.where("first is null").select("sig", "rep").join(firsts.where(F.col("c") <= most).select("sig", "v"), "sig")
+    return edges.union(rest.select(F.col("rep").alias("u"), "v")).where("u <> v").distinct()
 
 
 def verified(clusters: DataFrame, threshold: int) -> DataFrame:
@@ -347,8 +357,20 @@ def components(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD) -> D
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents whose id is their component's smallest, all columns (rows without an id stay)."""
-    gone = cut(components(docs, n, threshold).where("doc_id <> component_id").select("doc_id"))
+    """The first row of each component, all columns; rows without an id stay.
+
+    First is the smallest id. Rows that repeat an id are judged one by one, after all others: each is a document of its own,
+    numbered beyond the largest id in the order of the rows.
+    """
+    (key, flag), columns = common.fresh(docs.columns, "key", "maybe"), docs.columns
+    repeated = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
+    if repeated.isEmpty():
+        keyed = docs.withColumn(key, F.col("doc_id"))
+    else:
+        top = docs.agg(F.max("doc_id")).first()[0]
+        marked = docs.join(repeated.withColumn(flag, F.lit(True)), "doc_id", "left")
+        keyed = cut(marked.withColumn(key, F.when(F.col(flag), F.lit(top) + 1 + F.monotonically_increasing_id()).otherwise(F.col("doc_id"))).drop(flag))
+    gone = cut(components(keyed.select(F.col(key).alias("doc_id"), "text"), n, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias(key)))
     bits = common.bloom_bits(gone.count())
     filter_ = docs.sparkSession.sparkContext.broadcast(common.bloom_build(gone, bits, twice=False))
 
@@ -358,8 +380,9 @@ def one_of_each(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD) ->
 
         return pd.Series(common.bloom_has(filter_.value, bits, ids.to_numpy(np.int64)))
 
-    flagged = docs.withColumn("_maybe", maybe(F.coalesce("doc_id", F.lit(-1).cast("long"))))
-    return flagged.where("not _maybe").union(flagged.where("_maybe").join(gone, "doc_id", "left_anti").select(flagged.columns)).drop("_maybe")
+    flagged = keyed.withColumn(flag, maybe(F.coalesce(key, F.lit(-1).cast("long"))))
+    rest = flagged.where(flag).join(gone, key, "left_anti")
+    return flagged.where(~F.col(flag)).select(*columns).union(rest.select(*columns))
 
 
 #: Every pair that shares a shingle, and all that is reached by links: for tables of a few thousand documents.
