@@ -2,14 +2,13 @@
 
 One zstandard dictionary is built from blocks of good and one from blocks of bad labelled text. Every whole text is
 compressed with both, in independent blocks of 4 KB so that a dictionary helps a long text as much as a short one;
-the normalised difference of the two sizes, with the rate of compression, becomes a score by a logistic calibration
-fitted on labelled texts that the dictionaries have not seen.
+the normalised difference of the two sizes alone becomes a score by a logistic calibration (of it and its square) fitted on labelled texts that the dictionaries have not seen.
 
 Training takes at most SAMPLE labelled documents a class (a documented bound, the smallest hashes of their ids) and
 BLOCKS blocks of each for the dictionaries; scoring reads every text whole.
 
 Defined results: null text scores as the empty text; labels that are null or without document are ignored; of several
-labels of one document the smallest counts; without two documents of each kind every score is the share of label 1 (0.5
+labels of one document the smallest counts, of several texts of a labelled id the smallest, and rows that repeat an id are each scored; without two documents of each kind every score is the share of label 1 (0.5
 without any), and `keep_good` keeps all documents, since nothing was learned; an empty table gives no rows.
 """
 
@@ -46,6 +45,12 @@ def _dictionary(blocks: list[bytes]):
     return made.as_bytes(), made.dict_id() == 0
 
 
+def features(bad: int, good: int) -> list[float]:
+    """The normalised difference of the sizes under both dictionaries, and its square."""
+    difference = 10 * (bad - good) / (bad + good)
+    return [difference, difference**2]
+
+
 class Sizes:
     """Features of a text from its sizes under both dictionaries."""
 
@@ -60,21 +65,17 @@ class Sizes:
 
     def __call__(self, text: str | None) -> list[float]:
         blocks = _blocks(text)
-        n = sum(map(len, blocks))
-        bad, good = (sum(len(c.compress(b)) for b in blocks) for c in self.both)
-        difference = 10 * (bad - good) / (bad + good)
-        rate = float(np.log((good + 1) / (n + 20)))
-        return [difference, rate, difference**2, rate**2, difference * rate, float(np.log(n + 20))]
+        return features(*(sum(len(c.compress(b)) for b in blocks) for c in self.both))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray):
-    """Mean, deviation and weights of a ridge logistic regression."""
+def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray | float = 1.0):
+    """Mean, deviation and weights of a ridge logistic regression; times: how many rows each stands for."""
     mean, deviation = x.mean(0), x.std(0) + 1e-9
     a = np.c_[np.ones(len(x)), (x - mean) / deviation]
     w = np.zeros(a.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.eye(len(w)), a.T @ (p - y) + w)
+        step = np.linalg.solve((a * (times * p * (1 - p))[:, None]).T @ a + np.eye(len(w)), a.T @ (times * (p - y)) + w)
         w -= step * min(1.0, 2 / max(1e-9, np.abs(step).max()))
     return mean, deviation, w
 
@@ -85,6 +86,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for q in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    # of rows that repeat an id one is learned from, so the bound holds
+    sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     sample = cut(sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")))
     # a class that the hash puts in one half is dealt to both
     halves = {(r.quality, r.half) for r in sample.select("quality", "half").distinct().collect()}
@@ -118,7 +121,11 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     if len({r.quality for r in unseen}) < 2:
         return {"constant": float(prior)}
     unseen.sort(key=lambda r: (r.quality, r.x))
-    return model | {"logistic": _logistic(np.array([r.x for r in unseen]), np.array([r.quality for r in unseen], float))}
+    # the sample is bounded class by class, so each of its rows stands for its class's share of all labels
+    y = np.array([r.quality for r in unseen])
+    all_ = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    share = np.array([all_[q] / sum(all_.values()) for q in (0, 1)])
+    return model | {"logistic": _logistic(np.array([r.x for r in unseen]), y.astype(float), (share * len(y) / np.bincount(y))[y])}
 
 
 def _scorer(model: dict):
@@ -129,8 +136,9 @@ def _scorer(model: dict):
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with a column score in 0..1; no shuffle."""
+    """docs with a column score in 0..1, which replaces one of that name; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.select(*(c for c in docs.columns if c.lower() != "score"))
 
     def run(batches):
         scorer = _scorer(shared.value)
@@ -146,12 +154,19 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The documents that score at least `accept`, all columns."""
-    columns, model = docs.columns, train(docs, labels)
+    model = train(docs, labels)
     if "constant" in model:
         return docs
-    renamed = docs.withColumnRenamed("score", "_score") if "score" in columns else docs
-    out = score(renamed, model).where(F.col("score") >= accept).drop("score")
-    return out.toDF(*columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = _scorer(shared.value)
+        for batch in batches:
+            for part in common.runs(batch):
+                yield part.filter(pa.array(scorer(part.column("text").to_pylist()) >= accept, pa.bool_()))
+        common.release()
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 SQL = None
