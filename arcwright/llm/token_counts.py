@@ -4,7 +4,8 @@ Documents are encoded once and aggregated by length; suffix sums over the histog
 how many documents and tokens reach it and how many tokens are left when each document is cut there. Quantiles and
 totals come from the same rows.
 
-Defined results: null text has length 0; an empty table has an empty histogram.
+Defined results: null and empty texts have length 0; repeated rows count each; an empty table has an empty histogram, total 0 and
+no quantile. Only the column text is read.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from arcwright.llm import common
+from arcwright.plans.loops import cut
 
-#: Lengths of one range of the histogram; suffix sums are taken within ranges and over their totals.
-RANGE = 1024
+#: Bits of a length that one level of the suffix sums deals with.
+DIGIT = 6
 
 
 def lengths(docs: DataFrame, path: str) -> DataFrame:
@@ -38,19 +40,26 @@ def histogram(docs: DataFrame, path: str) -> DataFrame:
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """Per length L: documents and tokens of length L or more, and tokens kept when cut at L.
 
-    The histogram has as many rows as there are different lengths; it is summed range by range, so that no task
-    sorts all of it.
+    The histogram has as many rows as there are different lengths. It is summed digit by digit, DIGIT bits each: lengths within
+    their range, ranges within the next larger one, and so on, so that no task sorts more than 2**DIGIT rows.
     """
-    h = hist.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / RANGE).alias("range"))
-    ranges = h.groupBy("range").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
-    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("range", F.coalesce(F.sum("d").over(above), F.lit(0)).alias("d"), F.coalesce(F.sum("t").over(above), F.lit(0)).alias("t"))
-    own = Window.partitionBy("range").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
-    s = h.withColumn("docs_at_least", F.sum("n_docs").over(own)).withColumn("tokens_at_least", F.sum("tokens").over(own)).join(ranges, "range")
-    s = s.withColumn("docs_at_least", F.col("docs_at_least") + F.col("d")).withColumn("tokens_at_least", F.col("tokens_at_least") + F.col("t"))
-    total = hist.agg(F.sum(F.col("n_tokens") * F.col("n_docs")).alias("all_tokens"))
-    cut_ = F.col("all_tokens") - F.col("tokens_at_least") + F.col("docs_at_least") * F.col("n_tokens")
-    return s.join(F.broadcast(total), how="inner", on=F.lit(True)).select("n_tokens", "n_docs", "docs_at_least", "tokens_at_least", cut_.alias("tokens_cut_here"), "all_tokens")
+    hist = cut(hist)
+    h = hist.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"))
+    longest, total = hist.agg(F.max("n_tokens"), F.sum(F.col("n_tokens") * F.col("n_docs"))).first()
+    range_ = lambda level: F.shiftright("n_tokens", DIGIT * level)
+    own = lambda level: Window.partitionBy("up").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0 if level == 0 else -1)
+    docs, tokens, levels = [], [], max(1, -(-max(1, longest or 0).bit_length() // DIGIT))
+    s = h
+    for level in range(levels):
+        sums = h.groupBy(range_(level).alias("at")).agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t")).withColumn("up", F.shiftright("at", DIGIT))
+        above = sums.select(F.col("at").alias(f"r{level}"), F.sum("d").over(own(level)).alias(f"d{level}"), F.sum("t").over(own(level)).alias(f"t{level}"))
+        s = s.withColumn(f"r{level}", range_(level)).join(above, f"r{level}")
+        docs.append(F.coalesce(f"d{level}", F.lit(0)))
+        tokens.append(F.coalesce(f"t{level}", F.lit(0)))
+    s = s.select("n_tokens", "n_docs", sum(docs[1:], docs[0]).alias("docs_at_least"), sum(tokens[1:], tokens[0]).alias("tokens_at_least"))
+    all_ = F.lit(total or 0).cast("long")
+    cut_ = all_ - F.col("tokens_at_least") + F.col("docs_at_least") * F.col("n_tokens")
+    return s.select("n_tokens", "n_docs", "docs_at_least", "tokens_at_least", cut_.alias("tokens_cut_here"), all_.alias("all_tokens"))
 
 
 def total_at(sums: DataFrame, limit: int) -> int:
@@ -73,6 +82,4 @@ SQL = None
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from arcwright.plans.loops import cut
-
-    return suffix_sums(cut(histogram(common.table(spark, sf_dir, "documents"), common.tokenizer_path())))
+    return suffix_sums(histogram(common.table(spark, sf_dir, "documents"), common.tokenizer_path()))
