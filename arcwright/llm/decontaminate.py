@@ -5,14 +5,13 @@ separators); every window of ten consecutive item words is a pattern " w1 ... w1
 normalised text finds all of them; ends of matches map to word numbers, and those to offsets in the original text.
 
 Defined results: null or wordless texts have no words and no hits; items without words have no window; windows
-that several items share count for each of them; an empty benchmark hits nothing.
+that several items share count for each of them, and items of one id count once; an item without an id hits words like any
+other and counts as no item; an empty benchmark hits nothing; repeated rows are scanned each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from arcwright.llm import common
 
 WINDOW = 10
-#: Characters of patterns one automaton may hold; a larger benchmark is scanned for in several passes.
+#: Characters of patterns one automaton may hold; a larger benchmark has several, one after another in one pass.
 AUTOMATON_CHARS = 32 << 20
 
 _KEEP = np.array([c >= 0x80 or chr(c).isalnum() for c in range(256)])
@@ -44,6 +43,17 @@ def windows(rows: list[tuple[str, str]], width: int = WINDOW) -> dict[str, list[
     return out
 
 
+def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as disjoint ranges, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Scanner:
     """Finds the windows in texts; `spans` gives them in offsets of the original."""
 
@@ -72,14 +82,7 @@ class Scanner:
         for end, (n, own) in found:
             to = int(np.searchsorted(blanks, end))
             ranges.append((to - n, to))
-        ranges.sort()
-        merged = [ranges[0]]
-        for a, b in ranges[1:]:
-            if a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return len(w), merged, items
+        return len(w), united(ranges), items - {None}
 
     def spans(self, text: str | None) -> list[tuple[int, int]]:
         """Character offsets [from, to) of the hit passages in the original text."""
@@ -108,59 +111,52 @@ def _chunks(rows: Iterable[tuple[str, str]], limit: int = AUTOMATON_CHARS):
         yield chunk
 
 
+def _shared(docs: DataFrame, benchmark: DataFrame) -> list:
+    """The items, read to the driver one after another and broadcast in chunks within the bound; at least one chunk."""
+    rows = ((None if r.item_id is None else str(r.item_id), r.text) for r in benchmark.select("item_id", "text").toLocalIterator())
+    return [docs.sparkSession.sparkContext.broadcast(chunk) for chunk in _chunks(rows)] or [docs.sparkSession.sparkContext.broadcast([])]
+
+
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, starts, ends, items) per document: hit word ranges and items.
 
-    The benchmark is read to the driver item by item and cut into bounded chunks; each chunk is one automaton, and
-    a benchmark of several chunks takes one scan a chunk, merged per document.
+    All of a benchmark within the bound is one automaton. Beyond it, several follow one another in the same pass over the
+    documents; each adds its hits to those a row carries already, so no rows are joined.
     """
-    rows = ((str(r.item_id), r.text) for r in benchmark.select("item_id", "text").toLocalIterator())
-    passes = []
-    for chunk in chain(_chunks(rows), [[]]):
-        if not chunk and passes:  # the empty one stands for a benchmark without items
-            break
-        shared = docs.sparkSession.sparkContext.broadcast(chunk)
-        passes.append(docs.select("doc_id", "text").mapInArrow(_scan(shared), "doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"))
-    return passes[0] if len(passes) == 1 else _merge(passes)
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, starts array<long>, ends array<long>, items array<string>"
+    out, chunks = docs.select("doc_id", "text"), _shared(docs, benchmark)
+    for k, shared in enumerate(chunks):
+        more = k + 1 < len(chunks)
+        out = out.mapInArrow(_scan(shared, k, more), kinds + (", text string" if more else ""))
+    return out
 
 
-def _scan(shared):
+def _scan(shared, before: int, more: bool):
     def scan(batches):
         scanner = Scanner(windows(shared.value))
         for batch in batches:
             for part in common.runs(batch):
                 got = [scanner.scan(x) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": part.column("doc_id"),
-                        "n_words": pa.array([n for n, _, _ in got], pa.int64()),
-                        "starts": pa.array([[a for a, _ in r] for _, r, _ in got], pa.list_(pa.int64())),
-                        "ends": pa.array([[b for _, b in r] for _, r, _ in got], pa.list_(pa.int64())),
-                        "items": pa.array([sorted(i) for _, _, i in got], pa.list_(pa.string())),
-                    }
+                ranges, items = [r for _, r, _ in got], [i for _, _, i in got]
+                if before:
+                    old = zip(*(part.column(c).to_pylist() for c in ("starts", "ends", "items")))
+                    for i, (starts, ends, own) in enumerate(old):
+                        ranges[i], items[i] = united([*zip(starts, ends), *ranges[i]]), items[i] | set(own)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array([n for n, _, _ in got], pa.int64()),
+                        pa.array([[a for a, _ in r] for r in ranges], pa.list_(pa.int64())),
+                        pa.array([[b for _, b in r] for r in ranges], pa.list_(pa.int64())),
+                        pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+                        *([part.column("text")] if more else []),
+                    ],
+                    names=["doc_id", "n_words", "starts", "ends", "items", *(["text"] if more else [])],
                 )
 
     return scan
 
 
-def _merge(passes: list[DataFrame]) -> DataFrame:
-    """Ranges of several scans, united per document; every scan reads the documents in the same order of rows."""
-    every = passes[0].withColumn("row", F.monotonically_increasing_id())
-    for p in passes[1:]:
-        every = every.unionByName(p.withColumn("row", F.monotonically_increasing_id()))
-    g = every.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("r"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    fold = F.aggregate(
-        F.array_sort("r"),
-        F.expr("cast(array() as array<struct<starts:bigint,ends:bigint>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["ends"] >= x["starts"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], x["ends"]).alias("ends")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    m = g.withColumn("m", F.when(F.size("r") > 0, fold).otherwise(F.col("r")))
-    return m.select("doc_id", "n_words", F.col("m.starts").alias("starts"), F.col("m.ends").alias("ends"), "items")
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Digest columns of `hits`: n_hit, n_items, items_sha256, contaminated."""
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
@@ -171,10 +167,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, all columns; decided where the text is, so nothing is shuffled."""
     common.small_batches(docs.sparkSession)
-    rows = ((str(r.item_id), r.text) for r in benchmark.select("item_id", "text").toLocalIterator())
     out = docs
-    for chunk in _chunks(rows):
-        shared = docs.sparkSession.sparkContext.broadcast(chunk)
+    for shared in _shared(docs, benchmark):
 
         def keep(batches, shared=shared):
             scanner = Scanner(windows(shared.value))
@@ -203,7 +197,7 @@ met AS (SELECT id, k, width, pattern FROM grams SEMI JOIN windows USING (width,
 hit AS (SELECT id, count(DISTINCT place) AS n_hit FROM (SELECT id, unnest(range(k, k + width)) AS place FROM met) GROUP BY id),
 own AS (
     SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS line
-    FROM (SELECT DISTINCT id, item FROM met JOIN windows USING (width, pattern)) GROUP BY id)
+    FROM (SELECT DISTINCT id, item FROM met JOIN windows USING (width, pattern) WHERE item IS NOT NULL) GROUP BY id)
 SELECT words.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(line, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN hit ON words.id = hit.id LEFT JOIN own ON words.id = own.id
