@@ -6,13 +6,17 @@ ones at every 512th place this answers access, rank (how often an id occurs befo
 k-th occurrence is) from the one compressed file.
 
 File, little-endian: magic "WMT1", uint32 planes, uint64 tokens, uint64 documents; then sections, each uint64 raw
-size, uint64 stored size, zstandard data: document ids (int64), ends of documents (uint64), zeros of each plane
+size, uint64 stored size, zstandard data: document ids (int64), which of them are there (packed bits; others are null),
+ends of documents (uint64), zeros of each plane
 (uint64), and each plane's bits (packed, most significant first, padded to 64 bytes). Rank counts are made on
 opening.
 
-Shards are ranges of doc_id, so their order is that of the ids; a file is written under a name of its task's attempt
-and then moved to its place, so a repeated task leaves one whole file. Defined results: null text is an empty
-document, which is its end id alone; rows with a repeated id follow one another; an empty table writes no file.
+Shards are ranges of doc_id (and of the text's hash within one id, so that rows of one id may be split), no fewer than
+the session's partitions and of about SHARD_BYTES of text, so that a shard fits in a task. A file is written under a name of
+its task's attempt and then moved to its place, so a repeated task leaves one whole file.
+
+Defined results: null text is an empty document, which is its end id alone; rows with a repeated id follow one another;
+null ids come first and are read back as null; an empty table writes no file; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ MAGIC = b"WMT1"
 END = 0
 _BLOCK = 512
 _LEVEL = 1
+SHARD_BYTES = 64 << 20
 #: Tokens worked through at a time, so that they stay in a core's cache.
 _RUN = 1 << 17
 
@@ -44,7 +49,7 @@ def _put(out: list[bytes], raw: bytes) -> None:
     out.append(stored)
 
 
-def encode(tokens: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
+def encode(tokens: np.ndarray, doc_ids: pa.Array, ends: np.ndarray) -> bytes:
     """The file of a shard; ends: how many tokens end with each document."""
     n = len(tokens)
     planes = max(1, int(tokens.max()).bit_length()) if n else 1
@@ -65,7 +70,8 @@ def encode(tokens: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
             low, high = low + len(a), high + len(b)
         x = y
     out = [MAGIC, struct.pack("<IQQ", planes, n, len(doc_ids))]
-    _put(out, doc_ids.astype("<i8").tobytes())
+    _put(out, np.asarray(doc_ids.fill_null(0)).astype("<i8").tobytes())
+    _put(out, np.packbits(np.asarray(doc_ids.is_valid())).tobytes())
     _put(out, ends.astype("<u8").tobytes())
     _put(out, np.array(zeros, "<u8").tobytes())
     for raw in bits:
@@ -90,7 +96,8 @@ class WaveletMatrix:
             at += 16 + stored
             return z.decompress(data[at - stored : at], max_output_size=size) if size else b""
 
-        self.doc_ids, self.ends = np.frombuffer(take(), "<i8"), np.frombuffer(take(), "<u8").astype(np.int64)
+        ids, valid = np.frombuffer(take(), "<i8"), np.unpackbits(np.frombuffer(take(), np.uint8), count=self.documents).view(bool)
+        self.doc_ids, self.ends = pa.array(ids, pa.int64(), mask=~valid), np.frombuffer(take(), "<u8").astype(np.int64)
         self.zeros = np.frombuffer(take(), "<u8").astype(np.int64)
         self.bits = [np.frombuffer(take(), np.uint8) for _ in range(self.planes)]
         self._ranks: list[np.ndarray | None] = [None] * self.planes
@@ -165,15 +172,36 @@ class WaveletMatrix:
 
 
 def _file(uri: str):
-    """(filesystem, path) of any address that Spark's own file systems share with pyarrow; plain paths are local."""
+    """(filesystem, path) of any address that Spark's own file systems share with pyarrow."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system: Spark's default one where none is named."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _settle(system, made: str, at: str) -> None:
+    """Moves a finished file to its place; where another attempt was first, its file, which is the same, stays."""
+    from pyarrow import fs
+
+    try:
+        system.move(made, at)
+    except OSError:
+        if system.get_file_info(at).type != fs.FileType.File:
+            raise
+        system.delete_file(made)
+
+
 def write(docs: DataFrame, folder: str, path: str, shards: int | None = None) -> DataFrame:
     """Encodes docs in ascending doc_id order into shard files under `folder`; (shard, file, documents, tokens) of each."""
-    shards = shards or common.partitions(docs.sparkSession)
+    if not shards:
+        size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(common.partitions(docs.sparkSession), -(-size // SHARD_BYTES))
+    folder = _qualified(docs.sparkSession, folder)
 
     def run(batches):
         from pyspark import TaskContext
@@ -191,15 +219,16 @@ def write(docs: DataFrame, folder: str, path: str, shards: int | None = None) ->
             return
         context = TaskContext.get()
         name = f"{folder}/shard-{context.partitionId():05d}.wmt"
-        data = encode(np.concatenate(tokens), np.array([-1 if i is None else i for i in ids], np.int64), np.cumsum(lengths))
+        data = encode(np.concatenate(tokens), pa.array(ids, pa.int64()), np.cumsum(lengths))
         system, at = _file(name)
         system.create_dir(at.rpartition("/")[0], recursive=True)
         with system.open_output_stream(f"{at}.{context.taskAttemptId()}") as f:
             f.write(data)
-        system.move(f"{at}.{context.taskAttemptId()}", at)
+        _settle(system, f"{at}.{context.taskAttemptId()}", at)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([context.partitionId()], pa.int32()), "file": [name], "documents": [len(ids)], "tokens": [int(sum(lengths))]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.select("doc_id", "text").repartitionByRange(shards, *order).sortWithinPartitions(*order)
     return cut(ordered.mapInArrow(run, "shard int, file string, documents long, tokens long"))
 
 
@@ -228,7 +257,7 @@ def read(spark: SparkSession, written: DataFrame) -> DataFrame:
                 tokens = shard.tokens().astype("<u4")
                 begin = np.r_[0, shard.ends[:-1]].astype(np.int64)
                 crc = [zlib.crc32(tokens[a:b].tobytes()) for a, b in zip(begin, shard.ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(base + begin), pa.array(shard.ends - begin), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([shard.doc_ids, pa.array(base + begin), pa.array(shard.ends - begin), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     each = spark.createDataFrame(files, "file string, base long").repartition(len(files))
     return each.mapInArrow(run, schema)
