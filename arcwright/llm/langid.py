@@ -5,10 +5,12 @@ rotated by their places, a text is the sum of its trigrams, and a language's pro
 texts, each of length one. A text gets the language whose prototype has the largest cosine with it.
 
 Training takes about SAMPLE documents a language (a documented bound: the share that is expected to give so many, by
-hash of the id); prediction reads every text whole. Prototypes are languages x DIMENSIONS floats.
+hash of the id) of the LANGUAGES values of lang that most documents have (a second bound); any value is a language, however
+odd. Prediction reads every text whole. Prototypes are languages x DIMENSIONS floats.
 
 Defined results: `und` with score 0 for null text or text without a letter, and where no language is known; ties go to
-the language first in order; a null or empty lang is not learned; an empty table gives no rows.
+the language first in order, and so does a text with letters but too short for a trigram; a null or empty lang is not learned;
+rows that repeat an id are predicted each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from arcwright.llm import common
 
 DIMENSIONS = 1024
 SAMPLE = 2000
+LANGUAGES = 500
 SEED = 20_061
 #: Cosines are sharpened by this factor before they are made into shares.
 SHARPNESS = 40.0
@@ -100,7 +103,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     common.small_batches(docs.sparkSession)
     known = docs.where("lang is not null and lang <> '' and text is not null")
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).withColumn("rate", F.lit(float(sample)) / F.col("n"))
-    rates = {r.lang: r.rate for r in sizes.collect()}
+    rates = {r.lang: r.rate for r in sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not rates:
         return [], np.zeros((0, DIMENSIONS), np.float32)
     unit = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
