@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,61 @@ def test_exact_large_groups(spark, monkeypatch):
         assert (made[i].keep_id, made[i].group_size, made[i].kept) == (texts.index(t), texts.count(t), i == texts.index(t))
 
 
+def test_exact_filters_in_parts(spark, monkeypatch):
+    """Filters of few bits: several parts, nearly all rows tested again, the same result."""
+    monkeypatch.setattr(common, "BLOOM_MAX_BITS", 1 << 13)
+    rows = [(i, f"text {i % 1500}") for i in range(2000)]
+    assert common.bloom_parts(2000) == 4
+    made = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.groups(docs(spark, rows)).collect()}
+    assert made == {i: (i % 1500, 2 if i % 1500 < 500 else 1) for i, _ in rows}
+    assert exact_dedup.deduplicate(docs(spark, rows)).count() == 1500
+
+
+def test_names_of_columns(spark):
+    """Columns named like those that operators make for themselves pass through all that return whole rows."""
+    names = ["_maybe", "maybe", "_sha", "sha", "_id", "id", "_once", "once", "_gone", "gone", "score", "_score", "key", "_key", "rep", "c", "component", "met", "slot", "row", "n", "line", "items", "starts", "part", "_part"]
+    rows = [(1, "a b c d e f"), (2, "a  b c d e f"), (2, "x y z"), (2, "x y z"), (3, "a b c d e f"), (None, "a b c d e f"), (4, None)]
+    df = docs(spark, rows).select("*", *(F.lit(f"its {x}").alias(x) for x in names))
+    bench = spark.createDataFrame([("q", "x y z")], "item_id string, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for made in (exact_dedup.deduplicate(df), jaccard_join.one_of_each(df), decontaminate.clean(df, bench), quality.keep_good(df, labels)):
+        got = made.collect()
+        assert made.columns == df.columns and got and all(r[x] == f"its {x}" for r in got for x in names)
+    model = quality.train(docs(spark, [(i, "good text here") for i in range(9)] + [(10 + i, "B!A!D") for i in range(9)]), spark.createDataFrame([(i, 1) for i in range(9)] + [(10 + i, 0) for i in range(9)], "doc_id long, quality int"))
+    assert "logistic" in model and quality.score(df, model).columns == [*(x for x in df.columns if x != "score"), "score"]
+    assert quality.score(df, model).count() == len(rows)
+
+
+def test_rows_that_repeat_an_id(spark):
+    """A row is dropped for what it holds, not for its id."""
+    text = "one two three four five six seven"
+    rows = [(1, text), (2, text), (2, "something else altogether, not like it"), (3, None), (3, None), (5, text)]
+    assert sorted((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs(spark, rows)).collect() if r.text) == [(1, text), (2, rows[2][1])]
+    # of rows equal in id and normalised text, the smallest raw text
+    same = [(7, "a  b"), (7, "a b"), (7, "a\tb"), (8, "a b")]
+    assert [(r.doc_id, r.text) for r in exact_dedup.deduplicate(docs(spark, same).repartition(3)).collect()] == [(7, "a\tb")]
+
+
+def test_empty_tables(spark, tmp_path):
+    none, path = docs(spark, []), common.tokenizer_path()
+    bench, labels = spark.createDataFrame([], "item_id string, text string"), spark.createDataFrame([], "doc_id long, quality int")
+    made = [
+        langid.identify(none, *langid.train(none)), jaccard_join.components(none), jaccard_join.one_of_each(none), quality.score(none, quality.train(none, labels)), quality.keep_good(none, labels),
+        exact_dedup.groups(none), exact_dedup.deduplicate(none), token_counts.suffix_sums(token_counts.histogram(none, path)), packing.sequences(none, path), lm_score.score(none, *lm_score.train(none)),
+        decontaminate.contamination(none, bench), decontaminate.clean(none, bench), wavelet.read(spark, wavelet.write(none, str(tmp_path), path)), sharding.place(none, "doc_id", ["a"]),
+    ]
+    assert [x.count() for x in made] == [0] * len(made)
+    sums = made[7]
+    assert token_counts.total_at(sums, 10) == 0 and token_counts.quantile(sums, 0.5) is None
+
+
+def test_jaccard_large_lists(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 3)
+    monkeypatch.setattr(jaccard_join, "HOT_LISTS", 1000)
+    rows = near(6, 60) + [(300 + i, f"q{i} " + " ".join(f"w{k}" for k in range(60))) for i in range(12)]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(docs(spark, rows)).collect()} == brute_components(rows)
+
+
 def test_bloom_twice(spark):
     keys = [1, 2, 3, 3, 4, 5, 5, 5, None][:8]
     df = spark.createDataFrame([(k,) for k in keys], "key long").repartition(3)
@@ -147,6 +203,8 @@ def test_decontaminate(spark, monkeypatch):
     clean = {x.doc_id for x in decontaminate.clean(docs(spark, texts), bench).collect()}
     assert clean == {d for d, w in want.items() if not w[4]}
     monkeypatch.setattr(decontaminate._chunks, "__defaults__", (300,))
+    assert len(decontaminate._shared(docs(spark, []), bench)) > 3
+    assert {x.doc_id for x in decontaminate.clean(docs(spark, texts), bench).collect()} == clean
     assert key(decontaminate.contamination(docs(spark, texts), bench)) == want
     assert decontaminate.contamination(docs(spark, texts), bench.where("false")).where("contaminated").count() == 0
     scanner = decontaminate.Scanner(decontaminate.windows([("a", "one TWO three")]))
@@ -156,14 +214,35 @@ def test_decontaminate(spark, monkeypatch):
 def test_encoder():
     e = common.Encoder(common.tokenizer_path(), limit=50)
     r = random.Random(6)
-    texts = ["".join(r.choice(" \n\t\r'a1.,éß$日  s_²ªtrevmldŸȺ") for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["<|endoftext|> x"]
+    texts = ["".join(r.choice(" \n\t\r'a1.,éß$日  s_²ªtrevmldŸȺ") for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    texts += ["<|endoftext|> x", "hello <|endoftext|> x", "a<|endoftext|><|endoftext|>", "<|endoftext| >", "é <|endoftext|>\n"]
+    texts += ["".join(chr(c) for c in range(i, i + 64) if not 0xD800 <= c < 0xE000) for i in range(0, 0x3000, 64)] + [f"a {chr(c)}{chr(c)} b1{chr(c)}" for c in range(0x20, 0x2100) if not 0xD800 <= c < 0xE000]
     for i in range(0, len(texts), 100):
-        assert [x.tolist() for x in e(texts[i : i + 100])] == e._encode(texts[i : i + 100])
+        assert [x.tolist() for x in e(texts[i : i + 100])] == [true_encode(t) for t in texts[i : i + 100]]
+    assert e(["hello <|endoftext|> x"])[0].tolist() == [31373, 220, 50256, 2124]
+
+
+def test_encoder_on_all_documents(spark):
+    e = common.Encoder(common.tokenizer_path(), limit=3000)
+    texts = [x.text or "" for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for i in range(0, len(texts), 50):
+        assert [x.tolist() for x in e(texts[i : i + 50])] == [true_encode(t) for t in texts[i : i + 50]]
+
+
+_fresh = []
+
+
+def true_encode(text):
+    """By the library alone, as loaded from the file."""
+    from tokenizers import Tokenizer
+
+    if not _fresh:
+        _fresh.append(Tokenizer.from_file(common.tokenizer_path()))
+    return _fresh[0].encode(text, add_special_tokens=False).ids
 
 
 def true_ids(rows):
-    e = common.Encoder(common.tokenizer_path())
-    return [(i, np.array(e._encode([t or ""])[0] + [0], "<u4")) for i, t in rows]
+    return [(i, np.array(true_encode(t or "") + [0], "<u4")) for i, t in rows]
 
 
 def test_wavelet(spark, tmp_path):
@@ -176,13 +255,16 @@ def test_wavelet(spark, tmp_path):
     for r, (i, raw) in zip(made, ids, strict=True):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(raw) // 4, zlib.crc32(raw))
         start += len(raw) // 4
-    assert wavelet.read(spark, wavelet.write(docs(spark, []), str(tmp_path / "e"), common.tokenizer_path())).count() == 0
+    rows = [(None, "x"), (-5, "y z"), (-1, "w"), (None, None), *((3, f"copy {i}") for i in range(20)), (2, "<|endoftext|>")]
+    again = sorted(wavelet.read(spark, wavelet.write(docs(spark, rows), str(tmp_path / "n"), common.tokenizer_path(), shards=5)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in again] == [None, None, -5, -1, 2] + [3] * 20 and [r.start for r in again] == np.r_[0, np.cumsum([r.n_tokens for r in again])][:-1].tolist()
+    assert Counter((r.doc_id, r.ids_crc32) for r in again) == Counter((i, zlib.crc32(raw.tobytes())) for i, raw in true_ids(rows))
 
 
 def test_wavelet_queries():
     x = np.random.default_rng(1).integers(0, 300, 5000).astype(np.uint32)
-    m = wavelet.WaveletMatrix(wavelet.encode(x, np.arange(2), np.array([10, 5000])))
-    assert (m.tokens() == x).all() and [m.access(i) for i in range(50)] == x[:50].tolist() and m.document(0).tolist() == x[:10].tolist()
+    m = wavelet.WaveletMatrix(wavelet.encode(x, pa.array([0, None]), np.array([10, 5000])))
+    assert m.doc_ids.to_pylist() == [0, None] and (m.tokens() == x).all() and [m.access(i) for i in range(50)] == x[:50].tolist() and m.document(0).tolist() == x[:10].tolist()
     for t in (0, 7, 299, 5000):
         where = np.flatnonzero(x == t)
         assert m.count(t) == len(where) and m.rank(t, 1234) == (x[:1234] == t).sum() and [m.select(t, k) for k in range(len(where))] == where.tolist() and m.select(t, len(where)) == -1
@@ -260,17 +342,85 @@ def test_langid(spark):
     assert langid.identify(df.drop("lang"), *langid.train(df.where("false"))).where("lang_pred <> 'und'").count() == 0
 
 
-def test_lm(spark):
+def lm_paths(parent, side, leaf):
+    """(node, side) from the leaf up; nodes are numbered from the root."""
+    out, root = [], len(parent) - 1
+    while leaf != root:
+        out.append((root - parent[leaf], side[leaf]))
+        leaf = parent[leaf]
+    return out
+
+
+def brute_log_p(rows, vocab, flat):
+    """Summed log-probabilities, one place and one node at a time, in plain Python."""
+    parent, side = vocab["tree"]
+    leaves, E, H, S = (len(parent) + 1) // 2, lm_score.EMBED, lm_score.HIDDEN, lm_score.SIDE
+    cuts = np.cumsum([(leaves + 1) * E, (leaves - 1) * (H + 1), 2 * S * E * H])
+    e, t, w, b = (x.astype(float) for x in np.split(flat, cuts))
+    e, t, w = e.reshape(-1, E), t.reshape(-1, H + 1), w.reshape(-1, H)
+    out = {}
+    for i, text in rows:
+        own = re.findall(r"[^\W_]+|(?:[^\w\s]|_)+", (text or "").lower())
+        leaf = [vocab["number"].get(x, len(vocab["number"]) + lm_score.word_class(x)) for x in own]
+        padded, total = [leaves] * S + leaf + [leaves] * S, 0.0
+        for k, word in enumerate(own):
+            x = np.concatenate([e[padded[k + S + j]] for j in (*range(-S, 0), *range(1, S + 1))])
+            h = np.r_[np.tanh(x @ w + b), 1.0]
+            for node, turn in lm_paths(parent, side, leaf[k]):
+                z = float(h @ t[node])
+                total += -np.log1p(np.exp(-z if turn else z))
+            if word not in vocab["number"]:
+                total += vocab["share"][lm_score.word_cell(word)]
+        out[i] = (len(own), total)
+    return out
+
+
+def test_lm(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "WORDS", 150)
+    monkeypatch.setattr(lm_score, "BATCH", 64)
     r = random.Random(13)
-    rows = [(i, " ".join("the cat sat on a mat".split() * r.randint(5, 60))) for i in range(200)] + [(900, None), (901, "mat mat mat a a sat"), (902, "the cat sat on a mat")]
+    rows = [(i, " ".join("the cat sat on a mat".split() * r.randint(1, 9))) for i in range(100)] + [(200 + i, t) for i, t in prose(14, 100)]
+    rows += [(900, None), (901, "mat mat mat a a sat"), (902, "the cat sat on a mat"), (903, " "), (904, "Ünseen, wörd! 日本"), (905, "the cat sat on a mat"), (905, "the cat"), (906, "the dog " * 30_000)]
     df = docs(spark, rows)
-    vocab = lm_score.vocabulary(df)
-    made = {x.doc_id: x for x in lm_score.score(df, vocab, lm_score.train(df, vocab, rates=(1.0,) * 20)).collect()}
-    assert made[900].n_tokens == 0 and made[900].mean_log_p is None and made[900].log_likelihood == 0
-    assert made[902].mean_log_p > made[901].mean_log_p
-    net = lm_score.Network()
-    context = np.array([[1, 2, 3, 4, 5, 6]])
-    assert np.isclose(np.exp(net.log_p(np.repeat(context, lm_score.VOCABULARY, 0), np.arange(lm_score.VOCABULARY))).sum(), 1, atol=1e-4)
+    vocab, flat = lm_score.train(df.repartition(3))
+    made = sorted((x.doc_id, x.n_tokens, x.log_likelihood) for x in lm_score.score(df, vocab, flat).collect())
+    some = [x for x in rows if x[0] != 906]
+    want = sorted((i, *brute_log_p([(i, t)], vocab, flat)[i]) for i, t in some)
+    assert [x[:2] for x in made] == sorted([(i, n) for i, n, _ in want] + [(906, 60_000)])
+    assert np.allclose([x[2] for x in made if x[0] != 906], [x[2] for x in want], rtol=1e-4, atol=1e-4)
+    of = {x.doc_id: x for x in lm_score.score(df, vocab, flat).collect()}
+    assert of[900].mean_log_p is None and of[900].log_likelihood == 0 and of[902].mean_log_p > of[901].mean_log_p
+    # the probabilities of all leaves add up to one, whatever the context
+    net = lm_score.Network(lm_score.Tree(*vocab["tree"]), flat)
+    n = net.tree.leaves
+    for context in ([0, 1, 2, 3], [n, n, 5, n - 1]):
+        assert np.isclose(np.exp(net.log_p(np.repeat([context], n, 0).astype(np.uint16), np.arange(n, dtype=np.uint16))).sum(), 1, atol=1e-4)
+    empty = docs(spark, [])
+    assert lm_score.score(empty, *lm_score.train(empty)).count() == 0
+    clash = docs(spark, rows[:20]).selectExpr("*", "1 as n", "'x' as line", "2 as n_tokens")
+    assert lm_score.score(clash, vocab, flat).count() == 20
+
+
+def test_lm_gradient(monkeypatch):
+    """A step goes down the gradient that small changes of the parameters give."""
+    monkeypatch.setattr(lm_score, "DENSE", 3)
+    parent, side = lm_score.huffman(np.array([50, 20, 9, 9, 5, 4, 2, 1]))
+    tree = lm_score.Tree(parent, side)
+    net, r = lm_score.Network(tree), np.random.default_rng(3)
+    net.t[:] = r.standard_normal(net.t.shape) * 0.3
+    context, leaf = r.integers(0, 9, (1, 2 * lm_score.SIDE)).astype(np.uint16), np.array([6], np.uint16)
+    before, start = net.flat.copy(), net.log_p(context, leaf)[0]
+    net.step(context, leaf, 1e-3)
+    moved, rate = net.flat - before, np.concatenate([np.full(net.e.size, lm_score.EMBED_MOST), np.full(net.t.size, lm_score.NODE_MOST), np.ones(net.w.size + net.b.size)])
+    for i in np.flatnonzero(np.abs(moved) > 1e-6)[::7]:
+        x = before.copy()
+        x[i] += 1e-2
+        up = lm_score.Network(tree, x).log_p(context, leaf)[0]
+        x[i] -= 2e-2
+        down = lm_score.Network(tree, x).log_p(context, leaf)[0]
+        twice = (context == i // lm_score.EMBED).sum() if i < net.e.size else 1  # an embedding met twice moves along the mean
+        assert np.isclose((up - down) / 2e-2, moved[i] / (1e-3 * rate[i]) * max(1, twice), rtol=0.05, atol=2e-3)
+    assert net.log_p(context, leaf)[0] > start
 
 
 def test_sharding(spark, tmp_path):
@@ -375,35 +525,24 @@ def test_lm_trains_on_every_place(spark):
     assert len(at) == n.sum() and sorted(dealt) == sorted(at) and np.bincount(own, minlength=6).tolist() == n.tolist()
     # texts of a few words train the network too
     df = docs(spark, [(i, "the cat sat") for i in range(300)] + [(300 + i, "a dog ran") for i in range(300)] + [(900, "the dog sat")])
-    vocab = lm_score.vocabulary(df)
-    made = {x.doc_id: x.mean_log_p for x in lm_score.score(df, vocab, lm_score.train(df, vocab, rates=(1.0,) * 3)).collect()}
-    start = lm_score.Network()
-    start.c[:] = vocab["log_p"]
-    before = {x.doc_id: x.mean_log_p for x in lm_score.score(df, vocab, start.flat).collect()}
-    assert made[0] > before[0] + 0.005
-
-
-def test_lm_words_beyond_the_most_frequent(spark):
-    # 300 words of one length and last letter, so one class; all but 191 are in clusters
-    word = [f"{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{i // 676}e" for i in range(300)]
-    df = docs(spark, [(i, " ".join(word)) for i in range(20)] + [(900, f"{word[0]} {word[250]}"), (901, f"{word[0]} zz9e"), (902, None)])
-    vocab = lm_score.vocabulary(df.where("doc_id < 900"))
-    assert all(w in vocab["number"] for w in word) and vocab["number"][word[250]] > lm_score.WORDS
-    net = lm_score.Network()
-    net.c[:], net.ct[:] = vocab["log_p"], vocab["log_members"]
-    made = {x.doc_id: x.log_likelihood for x in lm_score.score(df, vocab, net.flat).collect()}
-    assert made[900] > made[901] + 1 and made[902] == 0
-    # the word within its cluster is predicted from the context
-    a, b = lm_score.TAIL + 700, lm_score.TAIL + 701
-    context, target = np.array([[1] * 6, [2] * 6]), np.array([a, b])
-    for _ in range(300):
-        net.step(context, target, 0.5)
-    right, wrong = net.log_p(context, target), net.log_p(context, target[::-1])
-    assert (right > wrong + 1).all()
-    # of more words than the vocabulary, those beyond it keep their class
-    many = docs(spark, [(1, " ".join(f"{i}x" for i in range(lm_score.WORDS + lm_score.CLUSTERS * lm_score.MEMBERS + 500)))])
-    vocab = lm_score.vocabulary(many)
-    assert len(vocab["number"]) == lm_score.WORDS + lm_score.CLUSTERS * lm_score.MEMBERS and np.isclose(np.exp(-vocab["share"][lm_score.WORDS : lm_score.EDGE]).sum() - 64, 500)
+    vocab, flat = lm_score.train(df)
+    start = lm_score.Network(lm_score.Tree(*vocab["tree"]))
+    start.t[:, -1] = vocab["start"]
+    before, made = ({x.doc_id: x.mean_log_p for x in lm_score.score(df, vocab, f).collect()} for f in (start.flat, flat))
+    assert made[0] > before[0] + 0.05 and made[0] > made[900]
+    # before training, every word has its frequency
+    assert np.isclose(before[0], np.log(300 / (1803 + 64)), atol=0.02)
+
+
+def test_lm_words_beyond_the_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "WORDS", 3)
+    rows = [(1, "a a a a b b b b c c c c"), (2, "dxe dxe dxe"), (3, "exe"), (4, "fxe")]
+    vocab = lm_score.vocabulary(lm_score.raw_lines(docs(spark, rows)))
+    assert set(vocab["number"]) == {"a", "b", "c"} and len({lm_score.word_cell(w) for w in ("dxe", "exe", "fxe")}) == 3
+    share = lambda w: np.exp(vocab["share"][lm_score.word_cell(w)])
+    # of the class's five words and one for each cell: a word seen three times, once, or never
+    total = 5 + lm_score.CELLS
+    assert np.isclose(share("dxe"), 4 / total / 2) and np.isclose(share("exe"), 2 / total / 2) and np.isclose(share("gxe"), 1 / total)
 
 
 def test_quality_without_a_classifier(spark):
@@ -423,3 +562,86 @@ def test_jaccard_negative_ids(spark):
     rows = [(i - 150, t) for i, t in near(5, 75)]
     made = jaccard_join.components(docs(spark, rows).repartition(8)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in made} == brute_components(rows)
+
+
+def test_langid_brute(spark):
+    """Predictions and scores against bundles made trigram by trigram."""
+    r = random.Random(21)
+    alphabets = {"xx": "abcdeé", "yy": "deéfgh", "zz": "ghiß"}
+    rows = [(i, " ".join("".join(r.choice(a) for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 6))) + r.choice(["", "!", " 7", "."]), lang) for i, (lang, a) in enumerate(list(alphabets.items()) * 15)]
+
+    def vector(text):
+        seq, was = [], False
+        for c in text.lower() + "\n":
+            if c.isalpha() or was:
+                seq.append(ord(c) if c.isalpha() else 0)
+            was = c.isalpha()
+        v = [langid.letter_vector(c).astype(float) for c in seq]
+        return sum((np.roll(a, 2) * np.roll(b, 1) * c for a, b, c in zip(v, v[1:], v[2:])), np.zeros(langid.DIMENSIONS))
+
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-9)
+    known = [x for x in rows if x[0] % 2]
+    proto = {lang: unit(sum(unit(vector(t)) for _, t, own in known if own == lang)) for lang in alphabets}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for x in langid.identify(df.drop("lang"), *langid.train(df.where("doc_id % 2 = 1"))).collect():
+        cosine = {lang: float(unit(vector(rows[x.doc_id][1])) @ p) for lang, p in proto.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert x.lang_pred == best and np.isclose(x.score, 1 / sum(np.exp(langid.SHARPNESS * (c - cosine[best])) for c in cosine.values()), atol=1e-3)
+
+
+def test_quality_brute(spark):
+    """Scores against sizes taken block by block with the dictionaries themselves."""
+    import zstandard
+
+    good = prose(22, 60, 200)
+    bad = [(1000 + i, "!! ".join(t.upper().split())) for i, t in prose(23, 60)]
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad], "doc_id long, quality int")
+    rows = good + bad + [(5000, None), (5001, "long " * 5000)]
+    model = quality.train(docs(spark, good + bad), labels)
+    mean, deviation, w = model["logistic"]
+    kinds = [zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT for _, raw in model["dictionaries"]]
+    made = {r.doc_id: r.score for r in quality.score(docs(spark, rows), model).collect()}
+    for i, t in rows:
+        raw = (t or "").encode()
+        blocks = [raw[k : k + quality.BLOCK] for k in range(0, max(1, len(raw)), quality.BLOCK)]
+        size = [sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False).compress(b)) for b in blocks) for (d, _), kind in zip(model["dictionaries"], kinds)]
+        x = np.array(quality.features(*size))
+        assert np.isclose(made[i], 1 / (1 + np.exp(-(w[0] + ((x - mean) / deviation) @ w[1:]))), atol=0.02)
+
+
+def test_sharding_brute():
+    """Each shard's whole order of preference is written down; they take turns claiming the first slot that is free."""
+    names, size = [f"s{i}" for i in range(7)], 101
+    order = []
+    for s in names:
+        offset, step = zlib.crc32(f"offset {s}".encode()) % size, zlib.crc32(f"step {s}".encode()) % (size - 1) + 1
+        order.append([(offset + k * step) % size for k in range(size)])
+    owner = {}
+    while len(owner) < size:
+        for i, slots in enumerate(order):
+            if len(owner) < size:
+                owner[next(s for s in slots if s not in owner)] = i
+    assert sharding.lookup_table(names, size).tolist() == [owner[s] for s in range(size)]
+
+
+def test_packing_brute():
+    """Every place is tried, and the sum of squares taken over all open sequences."""
+    for seed in range(5):
+        lengths, capacity = np.random.default_rng(seed).integers(1, 21, 60), 20
+        gaps, where = [], {}
+        for i in sorted(range(60), key=lambda i: (-lengths[i], i)):
+            s = int(lengths[i])
+
+            def cost(after):
+                return sum(c * c for g, c in Counter(after).items() if g)
+
+            tries = [(cost([*gaps[:k], g - s, *gaps[k + 1 :]]), 0, g - s) for k, g in enumerate(gaps) if g >= s] + [(cost([*gaps, capacity - s]), 1, capacity - s)]
+            least, new, gap = min(tries)
+            if new:
+                where[i] = len(gaps)
+                gaps.append(gap)
+            else:  # of sequences with this gap, the one that has had it for the shortest time
+                where[i] = None
+                gaps[next(k for k, g in enumerate(gaps) if g == gap + s)] = gap
+        bins, _, gap = packing.pack(lengths, capacity)
+        assert sorted(gaps) == sorted(gap[np.unique(bins, return_index=True)[1]].tolist())
