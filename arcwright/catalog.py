@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from arcwright import fixtures as fx
 from arcwright.functions.text import digits, fold, representation_bytes
 from arcwright.model import Graph
-from arcwright.operators import collaboration as co, components as cc, diameter as dm, normalize as nz, paths as ps, stats as st, strong as sc, subgraph as sg, traversal as tr
+from arcwright.operators import collaboration as co, components as cc, diameter as dm, normalize as nz, paths as ps, representation as rp, stats as st, strong as sc, subgraph as sg, traversal as tr
 from arcwright.plans.loops import cut
+from arcwright.sources import sinks, text
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -37,7 +38,10 @@ def oracle_sql() -> dict[str, str]:
 _N = "(SELECT count(*) FROM part)"
 _C45, _C48, _S40, _S45 = fx.copart(45), fx.copart(48), fx.succ(40), fx.succ(45)
 #: arcs (s, t, w) of each graph
+_C00 = fx.copart(0)
 _ARCS = {
+    "copart00": f"{_C00}, arcs AS (SELECT u AS s, v AS t, 1.0 / papers AS w FROM copart UNION ALL SELECT v, u, 1.0 / papers FROM copart)",
+    "copart00_int": f"{_C00}, e AS ({fx.COPART_INT}), arcs AS (SELECT u AS s, v AS t, weight AS w FROM e UNION ALL SELECT v, u, weight FROM e)",
     "copart45": f"{_C45}, arcs AS (SELECT u AS s, v AS t, 1.0 / papers AS w FROM copart UNION ALL SELECT v, u, 1.0 / papers FROM copart)",
     "copart48": f"{_C48}, arcs AS (SELECT u AS s, v AS t, 1.0 AS w FROM copart UNION ALL SELECT v, u, 1.0 FROM copart)",
     "copart45_int": f"{_C45}, e AS ({fx.COPART_INT}), arcs AS (SELECT u AS s, v AS t, weight AS w FROM e UNION ALL SELECT v, u, weight FROM e)",
@@ -171,17 +175,11 @@ def egonet_2(spark, sf_dir):
     return e.select(F.least("ou", "ov").alias("u"), F.greatest("ou", "ov").alias("v"))
 
 
-@_add()
-def ball_50(spark, sf_dir):
-    g = fx.graph(spark, sf_dir, "copart45")
-    return sg.select(g, "ball", _hub(g), 50)
-
-
 # --- papers --------------------------------------------------------------------------------
 
 
-def _papers(spark, sf_dir) -> DataFrame:
-    p = fx.rows(spark, sf_dir, "", fx.PAPERS)
+def _papers(spark, sf_dir, select: str = fx.PAPERS) -> DataFrame:
+    p = fx.rows(spark, sf_dir, "", select)
     undated = F.when(F.col("paper_id") % 50 != 0, F.col("year"))
     return p.groupBy("paper_id", undated.cast("short").alias("year")).agg(F.collect_list(F.format_string("part %d", "author")).alias("authors"))
 
@@ -281,13 +279,23 @@ def representation_sizes(spark, sf_dir):
 # --- searches ------------------------------------------------------------------------------
 
 
+def _roots(g: Graph, v: int) -> DataFrame:
+    return g.edges.sparkSession.createDataFrame([(v,)], "v long")
+
+
 @_add(f"WITH RECURSIVE {_ARCS['copart45']}, {_HUB}, {_BFS} SELECT v, CAST(dist AS INTEGER) AS level FROM d")
 def bfs_levels(spark, sf_dir):
     g = fx.graph(spark, sf_dir, "copart45")
-    return tr.bfs(g, _hub(g)).select("v", "level")
+    return tr.levels_from(g, _roots(g, _hub(g))).select("v", "level")
 
 
-@_add()
+#: Discovery level by level: a vertex hangs from the neighbour discovered first, and a level goes by (rank of the parent, id).
+_TREE = """b(v, parent, level, rank) USING KEY (v) AS (SELECT r AS v, CAST(NULL AS BIGINT) AS parent, 0 AS level, CAST(1 AS BIGINT) AS rank FROM root UNION
+    (SELECT v, parent, level, (SELECT count(*) FROM recurring.b) + row_number() OVER (ORDER BY pr, v) AS rank FROM
+        (SELECT arcs.t AS v, arg_min(b.v, b.rank) AS parent, min(b.level) + 1 AS level, min(b.rank) AS pr FROM b JOIN arcs ON arcs.s = b.v LEFT JOIN recurring.b AS o ON o.v = arcs.t WHERE o.v IS NULL GROUP BY arcs.t)))"""
+
+
+@_add(f"WITH RECURSIVE {_ARCS['copart45']}, {_HUB}, {_TREE} SELECT v, parent, level, rank FROM b")
 def bfs_tree(spark, sf_dir):
     g = fx.graph(spark, sf_dir, "copart45")
     return tr.bfs(g, _hub(g))
@@ -296,13 +304,13 @@ def bfs_tree(spark, sf_dir):
 @_add(f"WITH RECURSIVE {_ARCS['copart45']}, {_HUB}, {_BFS} SELECT CAST(dist AS INTEGER) AS level, count(*) AS size FROM d GROUP BY dist")
 def bfs_level_sizes(spark, sf_dir):
     g = fx.graph(spark, sf_dir, "copart45")
-    return tr.level_sizes(tr.bfs(g, _hub(g)))
+    return tr.level_sizes(tr.levels_from(g, _roots(g, _hub(g))))
 
 
 @_add(f"WITH RECURSIVE {_ARCS['succ40']}, {_HUB}, {_BFS} SELECT v, CAST(dist AS INTEGER) AS level FROM d")
 def bfs_levels_directed(spark, sf_dir):
     g = fx.graph(spark, sf_dir, "succ40")
-    return tr.bfs(g, _hub(g)).select("v", "level")
+    return tr.levels_from(g, _roots(g, _hub(g))).select("v", "level")
 
 
 @_add()
@@ -371,7 +379,10 @@ def _dag(spark, sf_dir, kind: str) -> Graph:
 _DAG = _ARCS["succ40_int"].replace("arcs AS (SELECT", "arcs AS (SELECT").removesuffix(")") + " WHERE u < v)"
 
 
-@_add()
+_LAYERS = "l(v, layer) USING KEY (v) AS (SELECT p_partkey + 1 AS v, 0 AS layer FROM part UNION (SELECT arcs.t AS v, max(l.layer) + 1 AS layer FROM l JOIN arcs ON arcs.s = l.v JOIN recurring.l AS o ON o.v = arcs.t WHERE l.layer + 1 > o.layer GROUP BY arcs.t))"
+
+
+@_add(f"WITH RECURSIVE {_ARCS['succ45'].replace('FROM succ)', 'FROM succ WHERE u < v)')}, {_LAYERS} SELECT v, row_number() OVER (ORDER BY layer, v) AS place FROM l")
 def topological_order(spark, sf_dir):
     return sc.topological_order(_dag(spark, sf_dir, "succ45"))
 
@@ -402,13 +413,13 @@ def sssp_tree(spark, sf_dir):
 @_add(f"WITH RECURSIVE {_ARCS['succ40_int']}, {_HUB}, {_SSSP} SELECT v, dist AS distance FROM d")
 def bellman_ford_distances(spark, sf_dir):
     g = fx.graph(spark, sf_dir, "succ40_int")
-    return ps.bellman_ford(g, _hub(g)).select("v", "distance")
+    return ps.distances(g, [_hub(g)]).select("v", "distance")
 
 
 @_add(f"WITH RECURSIVE {_ARCS['succ40_int'].replace('u AS s, v AS t', 'v AS s, u AS t')}, root AS (SELECT t AS r FROM arcs GROUP BY t ORDER BY count(*) DESC, t LIMIT 1), {_SSSP} SELECT v, dist AS distance FROM d")
 def distances_to_target(spark, sf_dir):
     g = fx.graph(spark, sf_dir, "succ40_int")
-    return ps.bellman_ford_to(g, _hub(g)).select("v", "distance")
+    return ps.distances(g.transpose(), [_hub(g)]).select("v", "distance")
 
 
 @_add(f"WITH RECURSIVE {_ARCS['succ40_int']}, h(v, dist) USING KEY (v) AS (SELECT p_partkey + 1 AS v, CAST(0 AS DOUBLE) AS dist FROM part UNION (SELECT arcs.t AS v, min(h.dist + arcs.w) AS dist FROM h JOIN arcs ON arcs.s = h.v JOIN recurring.h AS o ON o.v = arcs.t WHERE h.dist + arcs.w < o.dist GROUP BY arcs.t)) SELECT v, dist AS h FROM h")
@@ -428,7 +439,11 @@ def negative_edge_refusal(spark, sf_dir):
     return spark.createDataFrame([], "u long, v long, weight double")
 
 
-@_add("SELECT CAST(-1 AS DOUBLE) AS weight, 3 AS arcs")
+#: Of the walks of three arcs that come back, the lightest through the three new vertices.
+_PLANTED = f"{_S40}, e AS ({fx.SUCC_INT} UNION ALL SELECT n + 1, n + 2, 2.0 FROM (SELECT {_N} AS n) UNION ALL SELECT n + 2, n + 3, -4.0 FROM (SELECT {_N} AS n) UNION ALL SELECT n + 3, n + 1, 1.0 FROM (SELECT {_N} AS n))"
+
+
+@_add(f"WITH {_PLANTED} SELECT min(x.weight + y.weight + z.weight) AS weight, CAST(3 AS INTEGER) AS arcs FROM e x JOIN e y ON y.u = x.v JOIN e z ON z.u = y.v AND z.v = x.u WHERE x.u > {_N}")
 def negative_cycle_exists(spark, sf_dir):
     """Three new vertices of a cycle of weight -1 beside a graph without one."""
     g = fx.graph(spark, sf_dir, "succ40_int")
@@ -460,18 +475,197 @@ def all_pairs_summary(spark, sf_dir):
     return ps.pair_summary(ps.johnson(unit))
 
 
-@_add()
+#: Every vertex's estimate after each round; 80 rounds are more than any of these graphs needs.
+_ROUNDS = "f(k, v, dist) AS (SELECT 0 AS k, r AS v, CAST(0 AS DOUBLE) AS dist FROM root UNION ALL (SELECT k + 1 AS k, v, min(dist) AS dist FROM (SELECT k, v, dist FROM f UNION ALL SELECT f.k, arcs.t, f.dist + arcs.w FROM f JOIN arcs ON arcs.s = f.v) WHERE k < 80 GROUP BY k, v))"
+
+
+@_add(f"WITH RECURSIVE {_ARCS['succ40_int']}, {_HUB}, {_ROUNDS} SELECT k AS round, v, dist AS estimate FROM (SELECT *, lag(dist) OVER (PARTITION BY v ORDER BY k) AS before FROM f) WHERE k > 0 AND (before IS NULL OR dist < before)")
 def bellman_ford_rounds(spark, sf_dir):
     g = fx.graph(spark, sf_dir, "succ40_int")
     return ps.lowerings(g, _hub(g), 10_000_000)
 
 
-@_add()
+_SETTLED = "k AS (SELECT v, dist, row_number() OVER (ORDER BY dist, v) AS rank FROM d)"
+
+
+@_add(f"WITH RECURSIVE {_ARCS['copart45_int']}, {_HUB}, {_SSSP}, {_SETTLED}, z AS (SELECT v, dist FROM k WHERE rank <= 20) SELECT arcs.t AS v, min(z.dist + arcs.w) AS estimate FROM z JOIN arcs ON arcs.s = z.v WHERE arcs.t NOT IN (SELECT v FROM z) GROUP BY arcs.t")
 def settled_frontier(spark, sf_dir):
     g = fx.graph(spark, sf_dir, "copart45_int")
     return ps.frontier_after(g, cut(ps.dijkstra(g, _hub(g))), 20)
 
 
+@_add(f"WITH RECURSIVE {_ARCS['copart48']}, {_MULTI}, p AS (SELECT m.s, m.v, min(a.s) AS parent FROM m JOIN arcs a ON a.t = m.v JOIN m b ON b.s = m.s AND b.v = a.s AND b.dist + 1 = m.dist GROUP BY m.s, m.v) SELECT m.s AS src, m.v, m.dist AS distance, CAST(m.dist AS INTEGER) AS hops, p.parent FROM m LEFT JOIN p ON p.s = m.s AND p.v = m.v")
+def all_pairs_predecessors(spark, sf_dir):
+    g = fx.graph(spark, sf_dir, "copart48")
+    unit = Graph(g.edges.withColumn("weight", F.lit(1.0)), g.n, False, True)
+    touched = g.arcs.select(F.col("src").alias("v")).distinct()
+    return ps.predecessors(unit, ps.every(unit, touched))
+
+
+@_add(f"WITH RECURSIVE {_ARCS['copart45_int']}, {_HUB}, {_SSSP}, far AS (SELECT v AS t, dist FROM d ORDER BY dist DESC, v LIMIT 1) SELECT (SELECT r FROM root) AS s, t, dist AS distance, CAST(0 AS BIGINT) AS missing_arcs, true AS adds_up FROM far")
+def point_to_point(spark, sf_dir):
+    """The farthest vertex from the hub, its way there checked arc by arc."""
+    g = fx.graph(spark, sf_dir, "copart45_int")
+    s = _hub(g)
+    t = ps.distances(g, [s]).orderBy(F.desc("distance"), "v").first().v
+    distance, way = ps.shortest_path(g, s, t)
+    checked = ps.hops(g, way).agg(F.count_if(F.col("weight").isNull()).alias("missing_arcs"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("total"))
+    return checked.select(F.lit(s).cast("long").alias("s"), F.lit(t).cast("long").alias("t"), F.lit(distance).alias("distance"), "missing_arcs", (F.col("total") == distance).alias("adds_up"))
+
+
+# --- strong components in order --------------------------------------------------------------
+
+_COND = f"{_ARCS['succ45']}, {_MULTI}, {_SCC}, ca AS (SELECT DISTINCT x.scc AS s, y.scc AS t FROM arcs JOIN scc x ON x.v = arcs.s JOIN scc y ON y.v = arcs.t WHERE x.scc <> y.scc), {_LAYERS.replace('arcs', 'ca')}"
+
+
+@_add(f"WITH RECURSIVE {_COND}, z AS (SELECT v AS scc, row_number() OVER (ORDER BY layer, v) AS component FROM l WHERE v IN (SELECT scc FROM scc)) SELECT scc.v, z.component FROM scc JOIN z ON z.scc = scc.scc")
+def scc_topological_ids(spark, sf_dir):
+    return sc.component_ids(fx.graph(spark, sf_dir, "succ45"))
+
+
+@_add(f"WITH RECURSIVE {_ARCS['succ45']}, {_MULTI}, {_SCC}, z AS (SELECT scc, row_number() OVER (ORDER BY count(*) DESC, scc) AS component FROM scc GROUP BY scc) SELECT scc.v, z.component FROM scc JOIN z ON z.scc = scc.scc")
+def scc_by_size(spark, sf_dir):
+    return sc.by_size(fx.graph(spark, sf_dir, "succ45"))
+
+
+@_add(f"WITH RECURSIVE {_ARCS['copart45']}, {_HUB}, {_TREE} SELECT v AS old_id, rank AS new_id FROM b WHERE rank <= 50")
+def ball_50(spark, sf_dir):
+    g = fx.graph(spark, sf_dir, "copart45")
+    return sg.select(g, "ball", _hub(g), 50)
+
+
+@_add(f"WITH RECURSIVE {_ARCS['copart45']}, {_HUB}, {_TREE}, k AS (SELECT v, rank FROM b WHERE level <= 2) SELECT least(x.rank, y.rank) AS u, greatest(x.rank, y.rank) AS v, 1.0 / papers AS weight FROM copart a JOIN k x ON x.v = a.u JOIN k y ON y.v = a.v")
+def egonet_numbered(spark, sf_dir):
+    g = fx.graph(spark, sf_dir, "copart45")
+    return sg.egonet(g, _hub(g), 2)[1]
+
+
+@_add(f"WITH RECURSIVE {_ARCS['copart45']}, {_HUB}, {_BFS} SELECT count(*) AS reached, CAST(0 AS BIGINT) AS wrong_parents, CAST(0 AS BIGINT) AS wrong_ranks, CAST(0 AS BIGINT) AS cross_edges FROM d")
+def dfs_tree_valid(spark, sf_dir):
+    """A depth-first tree of an undirected graph: parents are neighbours, ranks 1 .. reached, and each edge joins a vertex with one above it."""
+    g = fx.graph(spark, sf_dir, "copart45")
+    tree = cut(tr.dfs(g, _hub(g)))
+    sized = cut(sg.subtree_sizes(tree))
+    own = lambda c: sized.select(F.col("v").alias(c), F.col("rank").alias(f"r{c}"), F.col("size").alias(f"s{c}"))
+    e = g.edges.join(own("u"), "u").join(own("v"), "v")
+    inside = ((F.col("rv") > F.col("ru")) & (F.col("rv") < F.col("ru") + F.col("su"))) | ((F.col("ru") > F.col("rv")) & (F.col("ru") < F.col("rv") + F.col("sv")))
+    arcs = g.arcs.select(F.col("src").alias("parent"), F.col("dst").alias("v"))
+    reached = tree.count()
+    wrong = tree.where("parent is not null").join(arcs, ["parent", "v"], "left_anti").count()
+    ranks = reached - tree.where(F.col("rank").between(1, reached)).select("rank").distinct().count()
+    return spark.createDataFrame([(reached, wrong, ranks, e.where(~inside).count())], "reached long, wrong_parents long, wrong_ranks long, cross_edges long")
+
+
+# --- all lines -------------------------------------------------------------------------------
+# The whole of lineitem: dense graphs with hubs, for what is linear in the edges.
+
+
+@_add(f"WITH {_ARCS['copart00']}, {_DEG} SELECT v, degree FROM deg")
+def degree_all(spark, sf_dir):
+    return st.degrees(fx.graph(spark, sf_dir, "copart00"))
+
+
+@_add(f"WITH {_ARCS['copart00']}, {_DEG} SELECT {_DSTATS} FROM deg")
+def degree_stats_all(spark, sf_dir):
+    return st.degree_stats(fx.graph(spark, sf_dir, "copart00"))
+
+
+@_add(f"WITH RECURSIVE {_ARCS['copart00']}, {_BOTH}, {_LABEL} SELECT k AS component, count(*) AS size FROM c GROUP BY k")
+def component_sizes_all(spark, sf_dir):
+    return cc.component_sizes(fx.graph(spark, sf_dir, "copart00"))
+
+
+@_add(f"WITH RECURSIVE {_ARCS['copart00']}, {_HUB}, {_BFS} SELECT v, CAST(dist AS INTEGER) AS level FROM d")
+def bfs_levels_all(spark, sf_dir):
+    g = fx.graph(spark, sf_dir, "copart00")
+    return tr.levels_from(g, _roots(g, _hub(g))).select("v", "level")
+
+
+@_add(f"WITH RECURSIVE {_ARCS['copart00_int']}, {_HUB}, {_SSSP} SELECT v, dist AS distance FROM d")
+def sssp_all(spark, sf_dir):
+    g = fx.graph(spark, sf_dir, "copart00_int")
+    return ps.distances(g, [_hub(g)]).select("v", "distance")
+
+
+_COSUPPLIER = "sm AS (SELECT DISTINCT l_orderkey AS p, l_suppkey + 1 AS a FROM lineitem), cosupplier AS (SELECT x.a AS u, y.a AS v, CAST(count(*) AS BIGINT) AS orders FROM sm x JOIN sm y ON x.p = y.p AND x.a < y.a GROUP BY x.a, y.a)"
+
+
+@_add(f"WITH {_COSUPPLIER} SELECT count(*) AS edges, min(orders) AS min_orders, max(orders) AS max_orders, sum(orders) AS orders FROM cosupplier")
+def cosupplier_edges(spark, sf_dir):
+    e = fx.rows(spark, sf_dir, _COSUPPLIER, "SELECT u, v, orders FROM cosupplier")
+    return e.agg(F.count("*").alias("edges"), F.min("orders").alias("min_orders"), F.max("orders").alias("max_orders"), F.sum("orders").alias("orders"))
+
+
+_ALL_PAPERS = _PAPER.replace(fx.PAPERS, fx.ALL_PAPERS)
+
+
+@_add(f"WITH {_ALL_PAPERS} SELECT u, v, CAST(1 AS DOUBLE) / count(*) AS weight FROM term GROUP BY u, v")
+def network_edges_all(spark, sf_dir):
+    papers = cut(_papers(spark, sf_dir, fx.ALL_PAPERS))
+    return co.edges(co.terms(papers, cut(co.numbering(papers))))
+
+
+# --- text in and out -------------------------------------------------------------------------
+
+_LINES = "SELECT l_orderkey * 100 + l_linenumber + 2 AS line, concat_ws(' ', l_partkey + 1, l_suppkey + 1, CAST(l_quantity AS BIGINT) - 25) AS value FROM lineitem"
+
+
+@_add("SELECT least(l_partkey, l_suppkey) + 1 AS u, greatest(l_partkey, l_suppkey) + 1 AS v, CAST(min(CAST(l_quantity AS BIGINT) - 25) AS DOUBLE) AS weight FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY ALL")
+def parse_edge_list(spark, sf_dir):
+    body = fx.rows(spark, sf_dir, "", _LINES)
+    n = fx.parts(spark, sf_dir)
+    head = spark.createDataFrame([(1, f"  {n}\t\r"), (2, "")], "line long, value string")
+    return text.parse_edges(head.union(body.select("line", "value"))).edges
+
+
+@_add("SELECT s_suppkey + 1 AS vertex, s_name AS name FROM supplier")
+def parse_names(spark, sf_dir):
+    s = fx.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 2).alias("line"), F.concat(F.col("s_suppkey") + 1, F.lit("; "), "s_name", F.lit("  \r")).alias("value"))
+    return text.parse_names(spark.createDataFrame([(1, "\ufeffid,name")], "line long, value string").union(s))
+
+
+@_add("SELECT l_partkey + 1 AS u, l_suppkey + 1 AS v, l_quantity / 4 AS papers FROM lineitem")
+def parse_strengths(spark, sf_dir):
+    q = F.concat_ws(" ", F.col("l_partkey") + 1, F.col("l_suppkey") + 1, F.col("l_quantity") / 4)
+    return fx.table(spark, sf_dir, "lineitem").select(q.alias("value")).select(text.strength_of("value").alias("s")).select("s.u", "s.v", "s.papers")
+
+
+@_add(f"WITH {_S40} SELECT concat_ws(' ', u, v) AS line FROM succ UNION ALL SELECT CAST({_N} AS VARCHAR)")
+def edge_list_lines(spark, sf_dir):
+    return sinks.edge_lines(fx.graph(spark, sf_dir, "succ40")).select("line")
+
+
+@_add(f"SELECT x, CASE WHEN abs(x) < 1e15 THEN rtrim(rtrim(printf('%.8f', x), '0'), '.') ELSE printf('%.0f', x) END AS plain, CASE WHEN abs(x) < 1e15 THEN printf('%.3f', x) END AS three FROM (SELECT l_quantity / 64 AS x FROM lineitem UNION ALL SELECT -l_quantity * 1e20 FROM lineitem)")
+def number_text(spark, sf_dir):
+    from arcwright.functions.text import fixed, plain_double
+
+    q = fx.table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 64).alias("x"))
+    q = q.union(fx.table(spark, sf_dir, "lineitem").select(-F.col("l_quantity") * F.lit(1e20)))
+    return q.select("x", plain_double(F.col("x")).alias("plain"), F.when(F.abs("x") < 1e15, fixed(F.col("x"), 3)).alias("three"))
+
+
+@_add(f"WITH {_S40}, both_ AS (SELECT u, v FROM succ UNION SELECT v, u FROM succ), x AS (SELECT u AS v, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY v) AS ns, count(*) AS c FROM both_ GROUP BY u) SELECT p_partkey + 1 AS v, CAST(coalesce(sum(c) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, coalesce(ns, '') AS neighbours FROM part LEFT JOIN x ON x.v = p_partkey + 1")
+def drawing_rows(spark, sf_dir):
+    return rp.drawing_rows(fx.graph(spark, sf_dir, "succ40")).select("v", F.col("begin").alias("first"), F.array_join("neighbours", " ").alias("neighbours"))
+
+
+@_add(f"WITH {_ARCS['copart45']}, {_DEG} SELECT v, CAST(sum(degree) OVER (ORDER BY v) - degree AS BIGINT) AS first, CAST(sum(degree) OVER (ORDER BY v) AS BIGINT) AS last FROM deg")
+def csr_offsets(spark, sf_dir):
+    return rp.offsets(fx.graph(spark, sf_dir, "copart45")).select("v", F.col("begin").alias("first"), F.col("end").alias("last"))
+
+
+@_add(f"WITH {_ARCS['copart45']} SELECT s AS v, t // 64 AS word, true AS any, count(DISTINCT t) AS arcs FROM arcs GROUP BY ALL")
+def matrix_words(spark, sf_dir):
+    rows = rp.bit_rows(fx.graph(spark, sf_dir, "copart45"))
+    return rows.select("v", "word", (F.bit_count("bits") >= 1).alias("any"), F.bit_count("bits").cast("long").alias("arcs"))
+
+
+@_add(f"WITH {_PAPER} SELECT (SELECT count(*) FROM num WHERE first_year <= 1998) AS vertices, count(DISTINCT (u, v)) AS edges, count(*) AS pairs FROM term WHERE year <= 1998")
+def network_counts_1998(spark, sf_dir):
+    _, numbers, terms = _network(spark, sf_dir)
+    return co.counts(terms, numbers, 1998)
+
+
 # --- diameter and layouts ------------------------------------------------------------------
 
 _DIAMETER = f"WITH RECURSIVE {_ARCS['copart48']}, {_MULTI} SELECT CAST(max(dist) AS BIGINT) AS value FROM m"
@@ -485,17 +679,43 @@ def _diameter(method: str):
     return query
 
 
-for _method in ("exact", "ifub", "bounds", "sweep"):
-    _add(_DIAMETER if _method != "sweep" else None)(_diameter(_method))
+for _method in ("exact", "ifub", "bounds"):
+    _add(_DIAMETER)(_diameter(_method))
 
 
-@_add()
+@_add(f"WITH RECURSIVE {_ARCS['copart48']}, {_MULTI} SELECT CAST(max(dist) AS BIGINT) AS value, true AS not_above, true AS at_least_half FROM m")
+def diameter_sweep(spark, sf_dir):
+    """A lower bound, no less than half of the diameter."""
+    g = fx.graph(spark, sf_dir, "copart48")
+    exact, low = dm.diameter(g, "exact").value, dm.diameter(g, "sweep").value
+    return spark.createDataFrame([(exact, low <= exact, 2 * low >= exact)], "value long, not_above boolean, at_least_half boolean")
+
+
+#: Sizes of subtrees, and what comes before a child among its parent's.
+_SIZES = """up(v, a) AS (SELECT v, v AS a FROM b UNION ALL SELECT up.v, b.parent FROM up JOIN b ON b.v = up.a WHERE b.parent IS NOT NULL),
+    n AS (SELECT a AS v, count(*) AS size FROM up GROUP BY a),
+    h AS (SELECT b.v, b.parent, b.level, n.size, coalesce(sum(n.size) OVER (PARTITION BY b.parent ORDER BY b.rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b JOIN n ON n.v = b.v)"""
+_WEDGES = "w(v, first, width, size) AS (SELECT v, CAST(0 AS DOUBLE), 2 * pi(), size FROM h WHERE parent IS NULL UNION ALL SELECT h.v, w.first + h.before * (w.width / greatest(w.size - 1, 1)), h.size * (w.width / greatest(w.size - 1, 1)), h.size FROM w JOIN h ON h.parent = w.v)"
+
+
+@_add(f"WITH RECURSIVE {_ARCS['copart45']}, {_HUB}, {_TREE}, {_SIZES}, {_WEDGES} SELECT w.v, h.level, w.size, round(w.first + w.width / 2, 6) AS angle FROM w JOIN h ON h.v = w.v")
 def radial_layout(spark, sf_dir):
     g = fx.graph(spark, sf_dir, "copart45")
-    return sg.radial_layout(cut(tr.bfs(g, _hub(g))))
+    return sg.radial_layout(cut(tr.bfs(g, _hub(g)))).select("v", "level", "size", F.round("angle", 6).alias("angle"))
 
 
-@_add()
+@_add(f"WITH RECURSIVE {_ARCS['copart45']}, {_HUB}, {_TREE} SELECT count(*) AS placed, max(level) AS depth, CAST(count(*) FILTER (WHERE v NOT IN (SELECT parent FROM b WHERE parent IS NOT NULL)) AS BIGINT) AS leaf_slots, CAST(0 AS BIGINT) AS off_centre FROM b")
 def tree_layout(spark, sf_dir):
+    """Leaves take a slot each, side by side, and every parent is over the middle of its first and last child."""
     g = fx.graph(spark, sf_dir, "copart45")
-    return sg.tree_layout(cut(tr.bfs(g, _hub(g))))
+    tree = cut(tr.bfs(g, _hub(g)))
+    at = cut(sg.tree_layout(tree))
+    child = tree.select("v", "parent").join(at, "v")
+    middle = child.where("parent is not null").groupBy(F.col("parent").alias("v")).agg(((F.min("slot") + F.max("slot")) / 2).alias("middle"))
+    both = at.join(middle, "v", "left")
+    return both.agg(
+        F.count("*").alias("placed"),
+        F.max("depth").alias("depth"),
+        F.count_distinct(F.when(F.col("middle").isNull() & (F.col("slot") == F.floor("slot")), F.col("slot"))).alias("leaf_slots"),
+        F.count_if(F.abs(F.col("slot") - F.col("middle")) > 1e-9).alias("off_centre"),
+    )

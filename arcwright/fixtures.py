@@ -31,6 +31,8 @@ COPART_INT = "SELECT u, v, CAST(1 + (u * 7 + v * 13) % 9 AS DOUBLE) AS weight FR
 SUCC_INT = "SELECT u, v, CAST((u * 7 + v * 13) % 9 + (u * 31) % 20 - (v * 31) % 20 AS DOUBLE) AS weight FROM succ"
 PAPERS = "SELECT l_orderkey AS paper_id, l_partkey + 1 AS author, year(o_orderdate) AS year FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 45"
 
+ALL_PAPERS = PAPERS.removesuffix(" WHERE l_quantity >= 45")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")

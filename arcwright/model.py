@@ -53,7 +53,12 @@ class OverBudget(GraphError):
     pass
 
 
-#: Names of strategies that other engines let one choose; here they name the same plan, so they are checked and kept.
+class Cancelled(GraphError):
+    pass
+
+
+#: Names of strategies: storages are tables of `representation`, schedules are ways through a round, diameters are methods; frontiers
+#: and sweeps name one plan, since they never change a distance.
 STRATEGIES = {
     "storage": {"list", "matrix", "csr"},
     "frontier": {"vector", "heap", "lazy-heap", "quad-heap", "pairing", "radix"},
@@ -63,8 +68,14 @@ STRATEGIES = {
 }
 
 
+#: Other spellings of the same names.
+ALIASES = {"adjacency-list": "list", "adjacency-matrix": "matrix", "binary-heap": "heap", "binary": "heap", "lazy": "lazy-heap", "quad": "quad-heap", "4-ary": "quad-heap", "early": "early-stop", "fifo": "queue", "small-label-first": "slf", "brute-force": "exact", "four-sweep": "sweep", "tiles": "blocked"}
+
+
 def strategy(axis: str, name: str) -> str:
-    chosen = name.lower().replace("_", "-")
+    chosen = name.lower().replace("_", "-").replace(" ", "-")
+    if chosen not in STRATEGIES[axis]:
+        chosen = ALIASES.get(chosen, chosen)
     if chosen not in STRATEGIES[axis]:
         raise GraphError(f"unknown {axis} {name!r}: one of {', '.join(sorted(STRATEGIES[axis]))}")
     return chosen
@@ -103,6 +114,13 @@ class Graph:
     def edge_count(self) -> int:
         return self.edges.count()
 
+    @cached_property
+    def local(self):
+        """The arcs as a broadcast for one task, where they are within its bounds; else None."""
+        from arcwright.operators import kernels
+
+        return kernels.local(self)
+
     def transpose(self) -> Graph:
         if not self.directed:
             return self

@@ -56,6 +56,28 @@ def counters(papers: DataFrame) -> DataFrame:
     return c.groupBy("paper_id").agg(F.count("*").alias("k")).agg(F.count("*").alias("papers"), F.max("k").alias("largest_paper")).crossJoin(c.agg(F.count_distinct("name").alias("authors")))
 
 
+def vertex_count(numbers: DataFrame, year: int | None = None) -> int:
+    """Vertices as of a year: numbers go by first year, so they are 1 .. this."""
+    return until(numbers, year, "first_year").count()
+
+
+def names(numbers: DataFrame, year: int | None = None) -> DataFrame:
+    """(vertex, name) as of a year."""
+    return until(numbers, year, "first_year").select("vertex", "name")
+
+
+def name_of(numbers: DataFrame, vertex: int) -> str | None:
+    r = numbers.where(F.col("vertex") == vertex).first()
+    return r.name if r else None
+
+
+def counts(terms_: DataFrame, numbers: DataFrame, year: int | None = None) -> DataFrame:
+    """One row: vertices, edges, and papers' pairs as of a year."""
+    n = until(numbers, year, "first_year").agg(F.count("*").alias("vertices"))
+    t = until(terms_, year).groupBy("u", "v").agg(F.count("*").alias("c")).agg(F.count("*").alias("edges"), F.coalesce(F.sum("c"), F.lit(0)).alias("pairs"))
+    return n.crossJoin(t)
+
+
 def tiers(terms_: DataFrame, numbers: DataFrame) -> DataFrame:
     """(year, vertices, new_pairs, edges) of every calendar year of the span; edges and vertices so far.
 
@@ -77,6 +99,25 @@ def rebuilt(strengths_: DataFrame, year: int | None = None) -> DataFrame:
     return until(strengths_, year).groupBy("u", "v").agg((F.lit(1.0) / F.sum("papers")).alias("weight"))
 
 
+def built(strengths_: DataFrame, names_: DataFrame, year: int | None = None, compacted: bool = False) -> tuple[Graph, DataFrame]:
+    """A network from strengths (u, v, year, papers) and names (vertex, name), and the names of its vertices.
+
+    Compacted, vertices without an edge are left out and the others numbered anew, in order.
+    """
+    from arcwright.plans.loops import cut
+
+    e = cut(rebuilt(strengths_, year))
+    if not compacted:
+        top = e.agg(F.max("v")).first()[0] or 0
+        named = names_.agg(F.max("vertex")).first()[0] or 0
+        return Graph(e, max(1, top, named), False, True), names_
+    ids = cut(compact(e))
+    new = lambda c: ids.select(F.col("old_id").alias(c), F.col("new_id").alias(f"n{c}"))
+    e = e.join(new("u"), "u").join(new("v"), "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"), "weight")
+    kept = names_.join(ids.withColumnRenamed("old_id", "vertex"), "vertex").select(F.col("new_id").alias("vertex"), "name")
+    return Graph(e, max(1, ids.count()), False, True), kept
+
+
 def compact(edges_: DataFrame) -> DataFrame:
     """(old_id, new_id) of the vertices that have an edge, in order."""
     ends = edges_.select(F.col("u").alias("old_id")).union(edges_.select("v")).distinct()

@@ -13,6 +13,19 @@ def _signature(edges: DataFrame) -> tuple:
     return r.n, r.h
 
 
+#: A vertex is hot with more than HOT_ROWS neighbours and more than one in HOT_VERTICES of all rows.
+HOT_VERTICES = 1000
+HOT_ROWS = 1000
+
+
+def _answered(rows: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """(v, m) of rows (u, v) and least (u, m, c)."""
+    hot = least.where(F.col("c") > most).select("u", F.col("m").alias("hot"))
+    flagged = rows.join(F.broadcast(hot), "u", "left")
+    rest = flagged.where("hot is null").select("u", "v").join(least.where(F.col("c") <= most).select("u", "m"), "u")
+    return flagged.where("hot is not null").select("v", F.col("hot").alias("m")).union(rest.select("v", "m"))
+
+
 def min_labels(edges: DataFrame) -> DataFrame:
     """(v, component) for every vertex on an edge (u, v); component is the smallest vertex reachable.
 
@@ -24,11 +37,13 @@ def min_labels(edges: DataFrame) -> DataFrame:
     e = cut(e)
     before = _signature(e)
     while before[0]:
+        # vertices of more neighbours than their share, fewer than HOT_VERTICES of them, are answered by a broadcast
+        most = max(HOT_ROWS, 2 * before[0] // HOT_VERTICES)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.greatest("v", "m").alias("x"), F.least("v", "m").alias("y")).where("x <> y")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        large = _answered(both.where("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = _answered(large, least, most).select(F.greatest("v", "m").alias("x"), F.least("v", "m").alias("y")).where("x <> y")
         e = cut(least.select("u", F.col("m").alias("v")).union(small.select(F.col("x"), F.col("y"))).distinct())
         after = _signature(e)
         if after == before:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from arcwright.model import Graph, NotAcyclic
+from arcwright.operators import kernels
 from arcwright.plans.loops import cut
 
 
@@ -43,6 +44,9 @@ def strong_components(g: Graph) -> DataFrame:
         from arcwright.operators.components import labels
 
         return labels(g).withColumnRenamed("component", "scc")
+    if g.local:
+        shared = g.local
+        return kernels.once(g.edges.sparkSession, lambda: kernels.strong(shared.value), "v long, scc long")
     arcs, found = cut(g.arcs.select("src", "dst")), None
     while True:
         arcs = _trim(arcs)
@@ -75,8 +79,53 @@ def condensation(g: Graph, scc: DataFrame | None = None) -> DataFrame:
     return e.where("u <> to").select("u", F.col("to").alias("v")).distinct()
 
 
+def component_ids(g: Graph) -> DataFrame:
+    """(v, component): strong components numbered 1, 2, ... in a topological order, by layer and smallest vertex.
+
+    Every arc between components goes from a smaller to a larger number. Of an undirected graph they are the components, by smallest vertex.
+    """
+    from arcwright.plans.order import numbered
+
+    scc = cut(strong_components(g))
+    if not g.directed:
+        ranked = numbered(scc.select("scc").distinct(), ["scc"], "component")
+    else:
+        small = Graph(condensation(g, scc).withColumn("weight", F.lit(1.0)), g.n, True)
+        ranked = numbered(layers(small).join(scc.select(F.col("scc").alias("v")).distinct(), "v", "left_semi"), ["layer", "v"], "component").select(F.col("v").alias("scc"), "component")
+    return scc.join(ranked, "scc").select("v", "component")
+
+
+def by_size(g: Graph) -> DataFrame:
+    """(v, component): strong components numbered 1, 2, ... by size, largest first, then by smallest vertex."""
+    from arcwright.plans.order import numbered
+
+    scc = cut(strong_components(g))
+    sizes = scc.groupBy("scc").agg(F.count("*").alias("size"))
+    return scc.join(numbered(sizes, [F.desc("size"), F.col("scc")], "component").select("scc", "component"), "scc").select("v", "component")
+
+
+def largest_size(g: Graph) -> int:
+    return strong_components(g).groupBy("scc").count().agg(F.max("count")).first()[0]
+
+
+def is_acyclic(g: Graph) -> bool:
+    """No cycle but perhaps loops; an edge that may be walked both ways is a cycle."""
+    return largest_size(g) == 1
+
+
+def members(g: Graph, scc: int) -> DataFrame:
+    """(v) of the strong component of smallest vertex `scc`."""
+    return strong_components(g).where(F.col("scc") == scc).select("v").orderBy("v")
+
+
 def layers(g: Graph) -> DataFrame:
     """(v, layer): length of the longest way to v; refused for a graph with a cycle."""
+    if g.local:
+        shared = g.local
+        made = cut(kernels.once(g.edges.sparkSession, lambda: kernels.layers(shared.value), "v long, layer int"))
+        if not made.where("layer < 0").isEmpty():
+            raise NotAcyclic(largest_size(g))
+        return made
     arcs = cut(g.arcs.select("src", "dst"))
     out, left, layer = None, cut(g.vertices), 0
     while True:
@@ -89,7 +138,7 @@ def layers(g: Graph) -> DataFrame:
         arcs = cut(arcs.join(free.withColumnRenamed("v", "src"), "src", "left_anti"))
         layer += 1
     if not left.isEmpty():
-        raise NotAcyclic(strong_components(g).groupBy("scc").count().agg(F.max("count")).first()[0])
+        raise NotAcyclic(largest_size(g))
     return out
 
 

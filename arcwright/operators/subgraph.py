@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from arcwright.model import Graph, GraphError
-from arcwright.operators import stats
+from arcwright.operators import kernels, stats
 from arcwright.operators.traversal import bfs
 from arcwright.plans.loops import cut
 from arcwright.plans.order import numbered
@@ -49,8 +50,29 @@ def egonet(g: Graph, seed: int, radius: int) -> tuple[DataFrame, DataFrame]:
     return kept, induce(g, kept)
 
 
+_PLACED = "v long, parent long, level int, rank long, size long, pre long, angle double, slot double"
+
+
+def _placed(tree: DataFrame) -> DataFrame | None:
+    """All of a layout at once, in one task, where the tree is within its bounds."""
+    if tree.count() > kernels.LOCAL_EDGES:
+        return None
+
+    def run(t: pa.Table) -> pa.Table:
+        v, level, rank = (t.column(c).to_numpy() for c in ("v", "level", "rank"))
+        parent = t.column("parent").fill_null(0).to_numpy()
+        made = kernels.placed(v, parent, level, rank)
+        return pa.table([t.column("v"), t.column("parent"), t.column("level"), t.column("rank"), *map(pa.array, made)], names=["v", "parent", "level", "rank", "size", "pre", "angle", "slot"])
+
+    rows = tree.select("v", "parent", F.col("level").cast("int").alias("level"), F.col("rank").cast("long").alias("rank"))
+    return rows.groupBy(F.lit(0).alias("all")).applyInArrow(run, _PLACED)
+
+
 def subtree_sizes(tree: DataFrame) -> DataFrame:
     """(v, parent, level, rank, size) of a search tree, from the deepest level up."""
+    whole = _placed(tree)
+    if whole is not None:
+        return whole.select("v", "parent", "level", "rank", "size")
     deepest = tree.agg(F.max("level")).first()[0] or 0
     sizes = tree.where(F.col("level") == deepest).select("v", "parent", F.lit(1).cast("long").alias("size"))
     out = sizes
@@ -61,30 +83,38 @@ def subtree_sizes(tree: DataFrame) -> DataFrame:
     return tree.join(out.select("v", "size"), "v")
 
 
-def radial_layout(tree: DataFrame) -> DataFrame:
-    """(v, level, angle, size): each child gets a wedge of its parent's, in proportion to its subtree, in order of rank."""
+def _wedges(tree: DataFrame) -> DataFrame:
+    """(v, parent, level, size, pre, angle): each child gets a wedge of its parent's, in proportion to its subtree, in order of rank; pre is its place in pre-order."""
     from pyspark.sql import Window
 
     t = cut(subtree_sizes(tree))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("parent").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     t = cut(t.withColumn("before", before))
     deepest = t.agg(F.max("level")).first()[0] or 0
-    at = t.where("level = 0").select("v", F.lit(0.0).alias("start"), F.lit(2 * math.pi).alias("width"), "size")
+    at = t.where("level = 0").select("v", F.lit(0).cast("long").alias("pre"), F.lit(0.0).alias("start"), F.lit(2 * math.pi).alias("width"), "size")
     out = at
     for level in range(1, deepest + 1):
-        up = at.select(F.col("v").alias("parent"), F.col("start").alias("ps"), F.col("width").alias("pw"), F.col("size").alias("pn"))
+        up = at.select(F.col("v").alias("parent"), F.col("pre").alias("pp"), F.col("start").alias("ps"), F.col("width").alias("pw"), F.col("size").alias("pn"))
         child = t.where(F.col("level") == level).join(up, "parent")
         unit = F.col("pw") / F.greatest(F.col("pn") - 1, F.lit(1))
-        at = cut(child.select("v", (F.col("ps") + F.col("before") * unit).alias("start"), (F.col("size") * unit).alias("width"), "size"))
+        at = cut(child.select("v", (F.col("pp") + 1 + F.col("before")).alias("pre"), (F.col("ps") + F.col("before") * unit).alias("start"), (F.col("size") * unit).alias("width"), "size"))
         out = out.union(at)
-    return t.select("v", "level").join(out.select("v", (F.col("start") + F.col("width") / 2).alias("angle"), "size"), "v")
+    return t.select("v", "parent", "level").join(out.select("v", "pre", (F.col("start") + F.col("width") / 2).alias("angle"), "size"), "v")
+
+
+def radial_layout(tree: DataFrame) -> DataFrame:
+    """(v, level, angle, size): the middle of each vertex's wedge."""
+    whole = _placed(tree)
+    return (_wedges(tree) if whole is None else whole).select("v", "level", "angle", "size")
 
 
 def tree_layout(tree: DataFrame) -> DataFrame:
     """(v, slot, depth): leaves side by side in the order of the tree, parents centred over their first and last child."""
-    angled = radial_layout(tree)
-    leaf = tree.join(tree.select(F.col("parent").alias("v")), "v", "left_anti").join(angled.select("v", "angle"), "v")
-    at = cut(numbered(leaf, ["angle", "v"], "place").select("v", "parent", "level", (F.col("place") - 1).cast("double").alias("slot")))
+    whole = _placed(tree)
+    if whole is not None:
+        return whole.select("v", "slot", F.col("level").alias("depth"))
+    t = _wedges(tree)
+    at = cut(numbered(t.where("size = 1").select("v", "parent", "level", "pre"), ["pre"], "place").select("v", "parent", "level", (F.col("place") - 1).cast("double").alias("slot")))
     out, deepest = at, tree.agg(F.max("level")).first()[0] or 0
     for level in range(deepest - 1, -1, -1):
         mid = out.where(F.col("level") == level + 1).groupBy(F.col("parent").alias("v")).agg(((F.min("slot") + F.max("slot")) / 2).alias("slot"))

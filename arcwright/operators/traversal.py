@@ -1,12 +1,18 @@
-"""Breadth-first and depth-first search."""
+"""Breadth-first and depth-first search.
+
+Graphs that fit in one task are searched there (`kernels`); the loops here are for larger ones.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from arcwright.model import Graph, GraphError, RecursionLimit
+from arcwright.operators import components, kernels
 from arcwright.plans.loops import cut
 from arcwright.plans.order import numbered
 
@@ -23,6 +29,9 @@ def bfs(g: Graph, root: int, max_level: int | None = None, until: set[int] | Non
     """
     g.check(root)
     spark = g.edges.sparkSession
+    if g.local and not visit:
+        shared = g.local
+        return kernels.once(spark, lambda: kernels.search(shared.value, root, max_level, until, max_vertices), "v long, parent long, level int, rank long")
     arcs = cut(g.arcs.select("src", "dst").repartition("src"))
     frontier = spark.createDataFrame([(root, None, 0, 0)], _TREE)
     levels, seen, found, level = [frontier], frontier.select("v"), 1, 0
@@ -49,8 +58,15 @@ def bfs(g: Graph, root: int, max_level: int | None = None, until: set[int] | Non
     return ranked if max_vertices is None else ranked.where(F.col("rank") <= max_vertices)
 
 
+#: Rounds after which what was reached is written as one table.
+COMPACT = 8
+
+
 def levels_from(g: Graph, roots: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(src, v, level): hops from every root at once. roots: (v)."""
+    if g.local:
+        shared = g.local
+        return kernels.each(roots.select("v").distinct(), lambda v: kernels.levels(shared.value, v, max_rounds), "src long, v long, level int")
     arcs = cut(g.arcs.select(F.col("src").alias("v"), "dst").repartition("v"))
     frontier = cut(roots.select(F.col("v").alias("src"), "v").distinct())
     seen, level = frontier.withColumn("level", F.lit(0)), 0
@@ -60,7 +76,9 @@ def levels_from(g: Graph, roots: DataFrame, max_rounds: int | None = None) -> Da
         frontier = cut(reached.join(seen, ["src", "v"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.union(frontier.withColumn("level", F.lit(level))))
+        seen = seen.union(frontier.withColumn("level", F.lit(level)))
+        if level % COMPACT == 0:
+            seen = cut(seen)
     return seen
 
 
@@ -86,16 +104,55 @@ def eccentricities(g: Graph, roots: DataFrame) -> DataFrame:
 
 
 def path(tree: DataFrame, target: int) -> list[int]:
-    """From the root to the target; empty if it is not reached. One look-up a step, so for single paths."""
-    parents = tree.select("v", "parent")
-    out, at = [], target
-    while at is not None:
-        r = parents.where(F.col("v") == at).first()
-        if r is None:
-            return []
-        out.append(at)
-        at = r.parent
-    return out[::-1]
+    """From the root to the target; empty if it is not reached."""
+    if tree.where(F.col("v") == target).isEmpty():
+        return []
+    return ancestors(tree.where("parent is not null").select("v", "parent"), target)[::-1]
+
+
+def ancestors(parents: DataFrame, v: int) -> list[int]:
+    """v and the vertices above it; parents (v, parent) without a cycle. Pointers are doubled, so the jobs are the logarithm of the depth."""
+    jumps = [cut(parents.select("v", F.col("parent").alias("to")))]
+    while True:
+        j = jumps[-1]
+        more = cut(j.join(j.select(F.col("v").alias("to"), F.col("to").alias("next")), "to").select("v", F.col("next").alias("to")))
+        if more.isEmpty():
+            break
+        jumps.append(more)
+    found = parents.sparkSession.createDataFrame([(v, 0)], "v long, at long")
+    for k in range(len(jumps) - 1, -1, -1):
+        found = found.union(found.join(jumps[k], "v").select("to", F.col("at") + F.lit(1 << k)))
+    return [r.v for r in found.distinct().orderBy("at").collect()]
+
+
+class Visitor:
+    """What may be told of a search, in its order; a call that returns False ends the telling."""
+
+    def discover(self, v: int, parent: int | None, level: int):
+        """A vertex is met."""
+
+    def level_complete(self, level: int):
+        """All of a level has been met."""
+
+    def settle(self, v: int, parent: int | None, distance: float):
+        """A vertex of a weighted search has its distance."""
+
+    def finish(self):
+        """Nothing is left."""
+
+
+def walk(tree: DataFrame, visitor: Visitor) -> None:
+    """Tells a visitor of a tree of any search, in order of rank; rows come to the driver one after another."""
+    weighted, before = "distance" in tree.columns, 0
+    for r in tree.orderBy("rank").toLocalIterator():
+        if not weighted and r.level > before:
+            if visitor.level_complete(before) is False:
+                return
+            before = r.level
+        if (visitor.settle(r.v, r.parent, r.distance) if weighted else visitor.discover(r.v, r.parent, r.level)) is False:
+            return
+    if weighted or visitor.level_complete(before) is not False:
+        visitor.finish()
 
 
 #: Arcs that one task may hold for a search that cannot be split.
@@ -105,37 +162,28 @@ DFS_ARCS = 50_000_000
 def dfs(g: Graph, root: int, max_depth: int | None = None) -> DataFrame:
     """(v, parent, level, rank) in pre-order, neighbours in order of id.
 
-    Depth-first order is sequential: arcs of what the root reaches go to one task, which is refused beyond DFS_ARCS.
+    Depth-first order is sequential: the arcs of the root's component go to one task, which is refused beyond DFS_ARCS.
     """
     g.check(root)
-    reach = levels_from(g, g.edges.sparkSession.createDataFrame([(root,)], "v long")).select(F.col("v").alias("src"))
-    arcs = g.arcs.select("src", "dst").join(reach, "src")
-    size = arcs.count()
-    if size > DFS_ARCS:
-        raise GraphError(f"depth-first search of {size} arcs is beyond {DFS_ARCS}")
-    schema = "v long, parent long, level int, rank long"
-    if not size:
-        return g.edges.sparkSession.createDataFrame([(root, None, 0, 1)], schema)
-
-    def search(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["src", "dst"], kind="stable")
-        rows = {v: x["dst"].tolist() for v, x in pdf.groupby("src")}
-        seen, out, stack = {root}, [(root, None, 0, 1)], [(root, iter(rows.get(root, ())))]
-        while stack:
-            v, rest = stack[-1]
-            for w in rest:
-                if w not in seen:
-                    seen.add(w)
-                    out.append((w, v, len(stack), len(out) + 1))
-                    stack.append((w, iter(rows.get(w, ()))))
-                    break
-            else:
-                stack.pop()
-        return pd.DataFrame(out, columns=["v", "parent", "level", "rank"]).astype({"parent": "Int64"})
-
-    tree = arcs.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(search, schema)
+    spark, schema = g.edges.sparkSession, "v long, parent long, level int, rank long"
+    if g.local:
+        shared = g.local
+        tree = kernels.once(spark, lambda: kernels.depth_first(shared.value, root), schema)
+    else:
+        label = cut(components.labels(g))
+        own = label.where(F.col("component") == label.where(F.col("v") == root).first().component).select(F.col("v").alias("src"))
+        arcs, n = g.arcs.select("src", "dst").join(own, "src"), g.n
+        size = arcs.count()
+        if size > DFS_ARCS:
+            raise GraphError(f"depth-first search of {size} arcs is beyond {DFS_ARCS}")
+        if not size:
+            return spark.createDataFrame([(root, None, 0, 1)], schema)
+
+        def run(t):
+            src, dst = (t.column(c).to_numpy() for c in ("src", "dst"))
+            return pa.table(dict(zip(("v", "parent", "level", "rank"), kernels.depth_first(kernels.Arcs(n, src, dst, np.zeros(len(src))), root))))
+
+        tree = arcs.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, schema)
     if max_depth is not None:
         tree = cut(tree)
         deepest = tree.agg(F.max("level")).first()[0]

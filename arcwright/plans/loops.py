@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is set, as in tests."""
+    """The shared folder the session names; a temporary one only where none is set and all runs on this machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="arcwright-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -24,3 +27,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the checkpoint folder and forget the lineage; survives the loss of executors."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_bare(df: DataFrame) -> DataFrame:
+    """The same, and forgets what Spark inferred of the rows and how they are partitioned.
+
+    For tables that are united with others of the same origin: Spark 4.1 may then look for attributes that a branch no longer has.
+    """
+    made = cut(df)
+    session = made.sparkSession._jsparkSession
+    return DataFrame(session.internalCreateDataFrame(made._jdf.queryExecution().toRdd(), made._jdf.schema(), False), made.sparkSession)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that is no longer read, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

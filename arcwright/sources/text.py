@@ -55,17 +55,77 @@ def parse_edges(numbered_lines: DataFrame, directed: bool = False) -> Graph:
 
 
 def names(spark: SparkSession, path: str) -> DataFrame:
-    """(vertex, name): `id<sep>name` lines, sep of comma, semicolon, tab or blank; UTF-8 with or without mark, else Latin-1."""
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    text = F.when(F.expr("is_valid_utf8(cast(content as string))"), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    each = raw.select(F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r?\n")).alias("line", "value"))
-    return parse_names(each)
+    """(vertex, name): `id<sep>name` lines, sep of comma, semicolon, tab or blank; UTF-8 with or without mark, else Latin-1.
+
+    Lines are split and numbered over all splits of the file. Its bytes are taken for Latin-1 where any line is not UTF-8.
+    """
+    each = cut(numbered(spark.read.text(path).select(F.col("value").cast("binary").alias("raw"), F.monotonically_increasing_id().alias("at")), ["at"], "line"))
+    latin = not each.where(~F.expr("is_valid_utf8(cast(raw as string))")).isEmpty()
+    return parse_names(each.select("line", F.decode("raw", "ISO-8859-1" if latin else "UTF-8").alias("value")))
 
 
 def parse_names(each: DataFrame) -> DataFrame:
-    """Lines without a number in front, such as a header, and lines with nothing after it, such as a count, are no names."""
-    got = each.select(F.regexp_extract(F.trim("value"), r"^(\d{1,18})[,;\t ]+(.*)$", 1).alias("id"), F.trim(F.regexp_extract(F.trim("value"), r"^(\d{1,18})[,;\t ]+(.*)$", 2)).alias("name"))
-    return got.where("id <> '' and name <> ''").select(F.col("id").cast("long").alias("vertex"), "name")
+    """each: (line, value) from line 1. The first line that is not blank may be a header, without a number in front or with nothing after it.
+
+    Raises the first line that names no vertex, and the first that names one again.
+    """
+    value = F.regexp_replace(F.regexp_replace("value", "^\ufeff+", ""), r"^\s+|\s+$", "")
+    rows = cut(each.select("line", value.alias("value")).where("value <> ''"))
+    digits = F.regexp_extract("value", r"^(\d*)", 1)
+    rest = F.regexp_extract("value", r"^\d*[,;\t ]*(.*)$", 1)
+    got = rows.select("line", "value", digits.alias("digits"), rest.alias("name"))
+    first = got.orderBy("line").first()
+    if first and (not first.digits or not first.name):
+        got = got.where(F.col("line") > first.line)
+    vertex = F.when(F.length("digits").between(1, 18), F.col("digits")).try_cast("long")
+    got = got.select("line", "value", vertex.alias("vertex"), "name")
+    bad = got.where("vertex is null or vertex < 1 or name = ''").orderBy("line").first()
+    if bad:
+        raise ParseError(bad.line, "InvalidLine", bad.value)
+    return _once(got)
+
+
+def _once(got: DataFrame) -> DataFrame:
+    """got: (line, vertex, name). Refuses a vertex that is named twice."""
+    twice = got.groupBy("vertex").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("line")), 2, 1).alias("line")).where("n > 1").orderBy("vertex").first()
+    if twice:
+        raise ParseError(twice.line[0], "DuplicateVertex", str(twice.vertex))
+    return got.select("vertex", "name")
+
+
+def names_of(pairs: DataFrame) -> DataFrame:
+    """(vertex, name) from any table of these; refuses vertex 0, empty names and a vertex named twice, by place in the table."""
+    got = cut(numbered(pairs.select(F.col("vertex").cast("long").alias("vertex"), "name", F.monotonically_increasing_id().alias("at")), ["at"], "line").select("line", "vertex", "name"))
+    bad = got.where("vertex is null or vertex < 1 or name is null or name = ''").orderBy("line").first()
+    if bad:
+        raise ParseError(bad.line, "InvalidLine", f"{bad.vertex} {bad.name!r}")
+    return _once(got)
+
+
+def looks_like_names(head: str) -> bool:
+    """Whether the beginning of a file is one of names: one of the five lines after the first has a field that is no number."""
+    import re
+
+    def number(x: str) -> bool:
+        try:
+            float(x)
+            return True
+        except ValueError:
+            return False
+
+    body = [x.strip() for x in head[:4096].splitlines() if x.strip()][1:6]
+    return any(not number(f) for x in body for f in re.split(r"[\s,;]+", x) if f)
+
+
+def named(df: DataFrame, names_: DataFrame, column: str = "v", name: str = "name") -> DataFrame:
+    """df with the name of the vertex in a column, null where it has none."""
+    return df.join(names_.select(F.col("vertex").alias(column), F.col("name").alias(name)), column, "left")
+
+
+def named_path(names_: DataFrame, vertices: list[int]) -> list[str]:
+    """A path's names in order; the number where a vertex has none."""
+    steps = names_.sparkSession.createDataFrame(list(enumerate(vertices)), "at int, v long")
+    return [r.name or str(r.v) for r in named(steps, names_).orderBy("at").collect()]
 
 
 def search_names(names_: DataFrame, query: str, limit: int = 5) -> DataFrame:
@@ -88,22 +148,42 @@ def resolve(names_: DataFrame, text: str, n: int) -> int:
 
 
 def strengths(spark: SparkSession, path: str) -> DataFrame:
-    """(u, v, year, papers) from files strengths_<year>.txt of `u v strength` lines."""
-    t = spark.read.text(path).select(F.split("value", " ").alias("t"), F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})", 1).alias("year"))
-    ok = (F.size("t") == 3) & F.forall(F.slice("t", 1, 2), lambda x: F.regexp_like(x, F.lit(r"^\d{1,18}$"))) & F.regexp_like(F.get("t", F.lit(2)), F.lit(NUMBER))
-    rows = t.where(ok).select(F.get("t", F.lit(0)).cast("long").alias("u"), F.get("t", F.lit(1)).cast("long").alias("v"), F.when(F.col("year") != "", F.col("year")).cast("short").alias("year"), F.get("t", F.lit(2)).cast("double").alias("papers"))
-    return rows.where("papers > 0")
+    """(u, v, year, papers) from files strengths_<year>.txt of `u v strength` lines; raises a line that is none, with its file."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    rows = cut(raw.select("value", "file", F.regexp_extract("file", r"(\d{4})", 1).alias("year"), strength_of("value").alias("s")).where("value <> ''"))
+    bad = rows.where("s is null").orderBy("file", "value").first()
+    if bad:
+        raise ParseError(_line_of(spark, path, bad.file, bad.value), "InvalidStrength", f"{bad.file}: {bad.value}")
+    return rows.select("s.u", "s.v", F.when(F.col("year") != "", F.col("year")).cast("short").alias("year"), "s.papers")
+
+
+def strength_of(column: str):
+    """(u, v, papers) of a line of three parts with one blank between; null where it is none, or the strength not above zero."""
+    t = F.split(F.regexp_replace(column, "\r$", ""), " ")
+    ok = (F.size(t) == 3) & F.forall(F.slice(t, 1, 2), lambda x: F.regexp_like(x, F.lit(r"^\d{1,18}$"))) & F.regexp_like(F.get(t, F.lit(2)), F.lit(NUMBER))
+    papers = F.get(t, F.lit(2)).try_cast("double")
+    made = F.struct(F.get(t, F.lit(0)).try_cast("long").alias("u"), F.get(t, F.lit(1)).try_cast("long").alias("v"), papers.alias("papers"))
+    return F.when(ok & (papers > 0) & (papers < float("inf")) & (made["u"] > 0) & (made["v"] > 0), made)
+
+
+def _line_of(spark: SparkSession, path: str, file: str, value: str) -> int:
+    """Number of the first line of a file that reads so."""
+    own = spark.read.text(path).where(F.col("_metadata.file_name") == file)
+    rows = numbered(own.select("value", F.monotonically_increasing_id().alias("at")), ["at"], "line")
+    return rows.where(F.col("value") == value).agg(F.min("line")).first()[0]
 
 
 #: Elements under the root that are publications.
 RECORDS = ["article", "inproceedings", "proceedings", "book", "incollection", "phdthesis", "mastersthesis", "data"]
 
 
-def bibliography(spark: SparkSession, path: str, formal_only: bool = False, latin1: bool = True, records: list[str] = RECORDS) -> DataFrame:
+def bibliography(spark: SparkSession, path: str, formal_only: bool = False, latin1: bool | None = None, records: list[str] = RECORDS) -> DataFrame:
     """(paper_id, year, authors) from bibliographic XML; gzip by the file's ending, one scan a kind of record.
 
-    Home pages and persons are no papers; with formal_only neither are informal publications.
+    Bytes are Latin-1 where the XML declaration says so (or `latin1` does), else UTF-8. Home pages and persons are no papers;
+    with formal_only neither are informal publications.
     """
+    latin1 = declares_latin1(spark, path) if latin1 is None else latin1
     out = None
     for tag in records:
         # a record is what stands before its closing tag; the bytes are decoded here, since text is taken for UTF-8
@@ -116,6 +196,12 @@ def bibliography(spark: SparkSession, path: str, formal_only: bool = False, lati
     return papers_of(out, formal_only)
 
 
+def declares_latin1(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins with an XML declaration of ISO-8859-1."""
+    head = spark.read.option("lineSep", ">").text(path).limit(1).collect()
+    return bool(head) and "<?xml" in head[0].value and "iso-8859-1" in head[0].value.lower()
+
+
 def papers_of(records: DataFrame, formal_only: bool = False) -> DataFrame:
     """records: (tag, _key, _publtype, authors, year as text)."""
     keep = ~F.col("tag").isin("www", "person")
@@ -140,6 +226,30 @@ def unescape(x):
     return F.array_join(F.transform(parts, one), "")
 
 
+class SplitMix64:
+    """The public generator of that name: a reproducible stream of 64-bit numbers, on the driver."""
+
+    # The generator's increment and factors.
+    STEP, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+    def __init__(self, seed: int):
+        self.state = seed
+
+    def next(self) -> int:
+        mask = (1 << 64) - 1
+        self.state = z = (self.state + self.STEP) & mask
+        for shift, factor in ((30, self.FIRST), (27, self.SECOND)):
+            z = ((z ^ (z >> shift)) * factor) & mask
+        return z ^ (z >> 31)
+
+    def vertices(self, n: int, count: int) -> list[int]:
+        """So many different vertices of 1..n (all, if there are no more), in the order drawn."""
+        drawn: dict[int, None] = {}
+        while len(drawn) < min(n, count):
+            drawn.setdefault(self.next() % n + 1)
+        return list(drawn)
+
+
 def random_graph(spark: SparkSession, n: int, m: int, seed: int = 1, low: float | None = None, high: float | None = None, directed: bool = False) -> Graph:
     """m uniform pairs over 1..n, weights uniform in [low, high) to three places where given."""
     pick = lambda k, top: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(top))
