@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from arcwright.llm import common, decontaminate, exact_dedup, jaccard_join, packing, quality
-from arcwright.plans.loops import checkpoint_root
+from arcwright.plans.loops import checkpoint_root, remove
 
 #: Near copies in the pipeline: words of a shingle and percent of Jaccard similarity. Those of op2 are its own.
 NEAR_WORDS = 5
@@ -46,10 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet in the shared folder and read again."""
+    """All stages, each written as Parquet in the shared folder and read again; what only an earlier stage read is deleted."""
     folder = f"{checkpoint_root(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
