@@ -35,13 +35,13 @@ def near(seed, n=150):
     return rows
 
 
-def brute_components(rows):
+def brute_components(rows, n=4, threshold=85):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
     best = {i: i for i in sets}
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
     for _ in sets:
         changed = False
         for a, b in links:
@@ -469,7 +469,7 @@ def brute_pipeline(rows, scorer, items):
         if norm not in seen:
             seen.add(norm)
             kept.append((i, t))
-    first = brute_components(kept)
+    first = brute_components(kept, 5, 80)
     return [(i, t) for i, t in kept if first[i][1] == i and not brute_contaminated(t, items)]
 
 
