@@ -12,7 +12,7 @@ ends of documents (uint64), zeros of each plane
 opening.
 
 Shards are ranges of doc_id (and of the text's hash within one id, so that rows of one id may be split), no fewer than
-the session's partitions and of about SHARD_BYTES of text, so that a shard fits in a task. A file is written under a name of
+the session's partitions and of about SHARD_BYTES of input files, so that a shard fits in a task. A file is written under a name of
 its task's attempt and then moved to its place, so a repeated task leaves one whole file.
 
 Defined results: null text is an empty document, which is its end id alone; rows with a repeated id follow one another;
@@ -36,7 +36,7 @@ MAGIC = b"WMT1"
 END = 0
 _BLOCK = 512
 _LEVEL = 1
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 #: Tokens worked through at a time, so that they stay in a core's cache.
 _RUN = 1 << 17
 
@@ -198,9 +198,7 @@ def _settle(system, made: str, at: str) -> None:
 
 def write(docs: DataFrame, folder: str, path: str, shards: int | None = None) -> DataFrame:
     """Encodes docs in ascending doc_id order into shard files under `folder`; (shard, file, documents, tokens) of each."""
-    if not shards:
-        size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(common.partitions(docs.sparkSession), -(-size // SHARD_BYTES))
+    shards = shards or max(common.partitions(docs.sparkSession), -(-common.estimated_bytes(docs.select("doc_id", "text")) // SHARD_BYTES))
     folder = _qualified(docs.sparkSession, folder)
 
     def run(batches):
