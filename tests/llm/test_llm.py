@@ -645,3 +645,54 @@ def test_packing_brute():
                 gaps[next(k for k, g in enumerate(gaps) if g == gap + s)] = gap
         bins, _, gap = packing.pack(lengths, capacity)
         assert sorted(gaps) == sorted(gap[np.unique(bins, return_index=True)[1]].tolist())
+
+
+def test_decontaminate_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, "one two"), ("q", "three four"), ("q", "three four"), ("r", None)], "item_id string, text string")
+    made = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in decontaminate.contamination(docs(spark, [(1, "One two. three FOUR"), (2, "one two"), (3, "one")]), bench).collect()}
+    assert made == {1: (4, 4, 1, sha256(b"q").hexdigest(), True), 2: (2, 2, 0, sha256(b"").hexdigest(), True), 3: (1, 0, 0, sha256(b"").hexdigest(), False)}
+    again = docs(spark, [(1, "one two"), (1, "one two"), (1, None)])
+    assert [x.n_hit for x in decontaminate.contamination(again, bench).orderBy("n_hit").collect()] == [0, 2, 2] and decontaminate.clean(again, bench).count() == 1
+
+
+def test_files_are_moved_once(tmp_path):
+    """A second attempt finds the first one's file and leaves it."""
+    from pyarrow import fs
+
+    system = fs.LocalFileSystem()
+    for k in range(2):
+        (tmp_path / f"a.{k}").write_bytes(b"same")
+        wavelet._settle(system, str(tmp_path / f"a.{k}"), str(tmp_path / "a"))
+    assert [x.name for x in tmp_path.iterdir()] == ["a"]
+
+    class Refusing:
+        """Like file systems that do not move onto a file."""
+
+        def move(self, made, at):
+            raise OSError("there is such a file")
+
+        get_file_info, delete_file = system.get_file_info, system.delete_file
+
+    (tmp_path / "a.2").write_bytes(b"same")
+    wavelet._settle(Refusing(), str(tmp_path / "a.2"), str(tmp_path / "a"))
+    assert [x.name for x in tmp_path.iterdir()] == ["a"]
+    with pytest.raises(OSError):
+        wavelet._settle(Refusing(), str(tmp_path / "a.3"), str(tmp_path / "b"))
+
+
+def test_kinds_of_ids_and_extra_rows(spark):
+    """Repeated rows and ids, nulls in every column, for the operators that give a row for each document."""
+    rows = [(None, None), (None, "a b c"), (1, "a b c"), (1, "a b c"), (1, "other words here"), (2, "")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    path = common.tokenizer_path()
+    learned = langid.train(spark.createDataFrame([(1, "a b c", "xx"), (2, "d e f", None), (3, None, "yy"), (4, "g h", "")], "doc_id long, text string, lang string"))
+    assert learned[0] == ["xx"]
+    counted = lambda made: Counter((x.doc_id for x in made.collect()))
+    want = Counter(i for i, _ in rows)
+    model = quality.train(df, spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, quality int"))
+    vocab, flat = lm_score.train(df)
+    bench = spark.createDataFrame([("q", "no such words")], "item_id string, text string")
+    for made in (langid.identify(df.drop("lang"), *learned), quality.score(df, model), lm_score.score(df, vocab, flat), decontaminate.contamination(df, bench), exact_dedup.groups(df), sharding.place(df, "doc_id", ["a", "b"]), packing.sequences(df, path)):
+        assert counted(made) == want
+    assert sum(x.n_docs for x in token_counts.suffix_sums(token_counts.histogram(df, path)).collect()) == len(rows)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.components(df).collect()} == {1: (1, 1), 2: (0, 2)}
