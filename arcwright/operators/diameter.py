@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -26,13 +27,21 @@ class Diameter:
     cancelled: bool = False
 
 
-def diameter(g: Graph, method: str = "ifub", deadline_s: float | None = None) -> Diameter:
-    """Components are taken largest first and left out once they cannot beat the best; past the deadline a lower bound."""
+def diameter(g: Graph, method: str = "ifub", deadline_s: float | None = None, progress: Callable[[int, int], bool | None] | None = None) -> Diameter:
+    """Components are taken largest first and left out once they cannot beat the best.
+
+    Between sets of searches, `progress` is told how many searches there were and the longest distance so far. Past the
+    deadline, or where it returns False, what is known is a lower bound.
+    """
     method = strategy("diameter", method)
     if g.directed and method in ("ifub", "bounds"):
         raise GraphError(f"{method} needs an undirected graph")
-    end = None if deadline_s is None else time.monotonic() + deadline_s
     best = [0, (1, 1), 0]
+    last = None if deadline_s is None else time.monotonic() + deadline_s
+
+    def late() -> bool:
+        return (last is not None and time.monotonic() > last) or (progress is not None and progress(best[2], best[0]) is False)
+
     label = cut(components.labels(g))
     sizes = cut(label.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"))
     cancelled, seen = False, 0
@@ -45,7 +54,7 @@ def diameter(g: Graph, method: str = "ifub", deadline_s: float | None = None) ->
         group = sizes.where(F.col("size").between(low, top))
         seen = low
         inside = cut(label.join(group, "component").select("v", "component"))
-        if not _METHODS[method](g, inside, best, end):
+        if not _METHODS[method](g, inside, best, late):
             cancelled = True
             break
     return Diameter(best[0], best[1], method, best[2], method != "sweep" and not cancelled, cancelled)
@@ -61,15 +70,11 @@ def _search(g: Graph, roots: DataFrame, best: list) -> DataFrame:
     return found
 
 
-def _late(end) -> bool:
-    return end is not None and time.monotonic() > end
-
-
-def _exact(g, inside, best, end) -> bool:
+def _exact(g, inside, best, late) -> bool:
     n, parts = inside.count(), 1
     parts = max(1, -(-n // BATCH))
     for k in range(parts):
-        if _late(end):
+        if late():
             return False
         _search(g, inside.where(F.pmod(F.xxhash64("v"), F.lit(parts)) == k).select("v"), best)
     return True
@@ -84,11 +89,11 @@ def _farthest(found, inside) -> DataFrame:
     return found.join(inside, "v").groupBy("component").agg(F.max_by("v", F.struct("level", -F.col("v"))).alias("v"))
 
 
-def _sweep(g, inside, best, end) -> bool:
+def _sweep(g, inside, best, late) -> bool:
     """Four searches a component: from the hub, its farthest, a middle of that way, and its farthest."""
     start = _hubs(g, inside)
     for _ in range(2):
-        if _late(end):
+        if late():
             return False
         first = _farthest(_search(g, start.select("v"), best), inside)
         other = _search(g, first.select("v"), best)
@@ -101,13 +106,14 @@ def _sweep(g, inside, best, end) -> bool:
     return True
 
 
-def _ifub(g, inside, best, end) -> bool:
+def _ifub(g, inside, best, late) -> bool:
     """From the hubs' outermost levels inwards; done with a level when twice the next cannot beat the best."""
-    _sweep(g, inside, best, end)
+    if not _sweep(g, inside, best, late):
+        return False
     depth = cut(levels_from(g, _hubs(g, inside).select("v")).select("v", "level"))
     at = depth.agg(F.max("level")).first()[0] or 0
     while at > 0 and best[0] < 2 * at:
-        if _late(end):
+        if late():
             return False
         fringe = depth.where(F.col("level") == at)
         parts = max(1, -(-fringe.count() // BATCH))
@@ -117,13 +123,13 @@ def _ifub(g, inside, best, end) -> bool:
     return True
 
 
-def _bounds(g, inside, best, end) -> bool:
+def _bounds(g, inside, best, late) -> bool:
     """Eccentricities lie between max(d, ecc - d) and ecc + d; only those that may beat the best are searched from."""
     open_ = cut(inside.select("v", "component", F.lit(0).alias("low"), F.lit(1 << 30).alias("high")))
     degree = cut(stats.degrees(g).join(inside.select("v"), "v", "left_semi"))
     high = True
     while not open_.isEmpty():
-        if _late(end):
+        if late():
             return False
         key = F.struct(F.col("high") if high else -F.col("low"), F.col("degree"), -F.col("v"))
         pick = open_.join(degree, "v").groupBy("component").agg(F.max_by("v", key).alias("v")).select("v")

@@ -185,6 +185,10 @@ def refuse_negative(g: Graph) -> None:
         raise NegativeWeight(r.u, r.v, r.weight)
 
 
+#: Arcs of weight zero, at one distance, whose vertices one task puts in order.
+SETTLED_ARCS = 50_000_000
+
+
 def tree(g: Graph, reached: DataFrame, root: int) -> DataFrame:
     """(v, parent, distance, rank) from (v, distance).
 
@@ -209,6 +213,9 @@ def tree(g: Graph, reached: DataFrame, root: int) -> DataFrame:
         classes = level.select(F.col("dd").alias("distance")).distinct()
         inside = reached.join(classes, "distance")
         seeds = tight.where("ds < dd").select(F.col("dst").alias("v")).distinct().withColumn("seed", F.lit(True))
+        most = level.groupBy("dd").count().agg(F.max("count")).first()[0]
+        if most > SETTLED_ARCS:
+            raise GraphError(f"{most} arcs of weight zero at one distance are beyond {SETTLED_ARCS}: their order is made in one task")
         rows = inside.join(seeds, "v", "left").select("distance", "v", F.coalesce("seed", F.col("v") == root).alias("seed"), F.lit(None).cast("long").alias("dst"))
         rows = rows.union(level.select(F.col("dd"), F.col("src"), F.lit(False), F.col("dst")))
         placed = rows.groupBy("distance").applyInPandas(_settle, "distance double, v long, place long")
