@@ -59,6 +59,9 @@ def test_searches(spark, plan):
     with pytest.raises(GraphError):
         dm.diameter(directed, "ifub")
     assert dm.diameter(directed, "exact").value == 2
+    told = []
+    stopped = dm.diameter(g, "ifub", progress=lambda searches, best: told.append((searches, best)) or len(told) < 2)
+    assert stopped.cancelled and stopped.value <= 4 and len(told) == 2
     late = dm.diameter(g, "exact", deadline_s=-1)
     assert late.cancelled and not late.is_exact
 
