@@ -44,8 +44,8 @@ LARGEST_LIGHT = 400
 #: A list is large with more than HOT_ROWS rows and more than one in HOT_LISTS of all rows.
 HOT_LISTS = 1000
 HOT_ROWS = 1000
-#: Bytes of text whose smallest hashes meet in one bucket, about: a few million hashes.
-BUCKET_BYTES = 64 << 20
+#: Bytes of input files whose smallest hashes meet in one bucket, about: a few million hashes.
+BUCKET_BYTES = 32 << 20
 #: Bytes of text hashed at a time; hashing takes about sixty times as much memory for a moment.
 RUN = 512 << 10
 
@@ -129,7 +129,7 @@ def shared_prefixes(docs: DataFrame, n: int, threshold: int) -> DataFrame:
     """
     spark = common.small_batches(docs.sparkSession)
     # a bucket is one group in memory, so their number follows the text
-    buckets = max(common.partitions(spark), -(-(docs.select(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    buckets = max(common.partitions(spark), -(-common.estimated_bytes(docs) // BUCKET_BYTES))
 
     def pack(batches):
         for batch in batches:
