@@ -506,7 +506,7 @@ def score_lines(made: DataFrame, vocab: dict, flat: np.ndarray) -> DataFrame:
                     here = at[i : i + 2 * BATCH]
                     p[i : i + 2 * BATCH] = net.log_p(line.take(here[:, None] + SIDES), line.take(here))
                 p[line.take(at) >= known] += share.take(np.frombuffer(cells.as_py(), np.uint16))
-                total = np.bincount(own, p, minlength=len(n))
+                total = np.bincount(own, p, minlength=len(n)).astype(float)
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), pa.int64()), pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_p"])
         common.release()
