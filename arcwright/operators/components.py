@@ -15,7 +15,7 @@ def _signature(edges: DataFrame) -> tuple:
 
 #: A vertex is hot with more than HOT_ROWS neighbours and more than one in HOT_VERTICES of all rows.
 HOT_VERTICES = 1000
-HOT_ROWS = 1000
+HOT_ROWS = 100
 
 
 def _answered(rows: DataFrame, least: DataFrame, most: int) -> DataFrame:
