@@ -43,7 +43,7 @@ BLOCK_LEAST = 300
 LARGEST_LIGHT = 400
 #: A list is large with more than HOT_ROWS rows and more than one in HOT_LISTS of all rows.
 HOT_LISTS = 1000
-HOT_ROWS = 1000
+HOT_ROWS = 100
 #: Bytes of input files whose smallest hashes meet in one bucket, about: a few million hashes.
 BUCKET_BYTES = 32 << 20
 #: Bytes of text hashed at a time; hashing takes about sixty times as much memory for a moment.
