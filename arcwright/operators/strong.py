@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from arcwright.model import Graph, NotAcyclic
 from arcwright.operators import kernels
+from arcwright.operators.components import min_labels
 from arcwright.plans.loops import cut
 
+#: Arcs of a class of vertices, closed under strong connection, that one task searches by itself.
+CLASS_EDGES = 1_000_000
+
 
 def _least(arcs: DataFrame, values: DataFrame) -> DataFrame:
     """(v, c): the smallest value that reaches v along arcs; values (v, c)."""
@@ -34,11 +40,31 @@ def _trim(arcs: DataFrame) -> DataFrame:
     return arcs
 
 
+def _apart(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of arcs (src, dst, c) within classes: (v, scc) of the classes that fit in one task, and the arcs of the others."""
+    sizes = cut(arcs.groupBy("c").agg(F.count("*").alias("m")))
+    share = max(1, CLASS_EDGES // 8)
+    tasks = int(sizes.agg(F.sum("m")).first()[0] or 0) // share + 1
+    # classes of more than a share are few and broadcast; the rest share tasks, under numbers below zero
+    flagged = arcs.join(F.broadcast(sizes.where(F.col("m") > share)), "c", "left")
+    key = F.when(F.col("m").isNull(), -1 - F.pmod(F.xxhash64("c"), F.lit(tasks))).otherwise(F.col("c"))
+
+    def run(t: pa.Table) -> pa.Table:
+        src, dst = (t.column(k).to_numpy() for k in ("src", "dst"))
+        v, at = np.unique(np.r_[src, dst], return_inverse=True)
+        _, low = kernels.strong(kernels.Arcs(len(v), at[: len(src)] + 1, at[len(src) :] + 1, np.zeros(len(src))))
+        return pa.table({"v": v, "scc": v[low - 1]})
+
+    small = flagged.where(F.coalesce("m", F.lit(0)) <= CLASS_EDGES).select(key.alias("task"), "src", "dst")
+    return small.groupBy("task").applyInArrow(run, "v long, scc long"), flagged.where(F.col("m") > CLASS_EDGES).select("src", "dst", "c")
+
+
 def strong_components(g: Graph) -> DataFrame:
     """(v, scc): scc is the smallest vertex of the component.
 
-    Round by round: vertices that cannot be on a cycle are trimmed; the smallest id that reaches a vertex colours it;
-    what reaches the vertex that gave a colour within that colour is its component and leaves.
+    Classes that no strong component crosses are searched each in one task where they fit: first the weak components. Those that
+    are larger go round by round: vertices that cannot be on a cycle are trimmed; the smallest id that reaches a vertex colours
+    it, which gives smaller classes; what reaches the vertex that gave a colour within that colour is its component and leaves.
     """
     if not g.directed:
         from arcwright.operators.components import labels
@@ -47,28 +73,30 @@ def strong_components(g: Graph) -> DataFrame:
     if g.local:
         shared = g.local
         return kernels.once(g.edges.sparkSession, lambda: kernels.strong(shared.value), "v long, scc long")
-    arcs, found = cut(g.arcs.select("src", "dst")), None
+    arcs = g.arcs.select("src", "dst")
+    weak = min_labels(g.edges.select("u", "v")).select(F.col("v").alias("src"), F.col("component").alias("c"))
+    small, large = _apart(cut(arcs.join(weak, "src")))
+    found, arcs = cut(small), cut(large.select("src", "dst"))
     while True:
         arcs = _trim(arcs)
         if arcs.isEmpty():
             break
         vertices = arcs.select(F.col("src").alias("v")).distinct()
         colour = cut(_least(arcs, vertices.select("v", F.col("v").alias("c"))))
-        ends = arcs.join(colour.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst")
-        same = cut(ends.where("cs = cd").select("src", "dst", "cs"))
-        done = colour.where("v = c").select("v", F.col("c").alias("scc"))
+        ends = arcs.join(colour.select(F.col("v").alias("src"), "c"), "src").join(colour.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst")
+        small, large = _apart(cut(ends.where("c = cd").select("src", "dst", "c")))
+        found, same = found.union(cut(small)), cut(large)
+        done = cut(same.select(F.col("c").alias("v")).distinct().select("v", F.col("v").alias("scc")))
         front = done
         while True:
-            new = same.join(front.select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v"), F.col("cs").alias("scc")).distinct()
+            new = same.join(front.select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v"), F.col("c").alias("scc")).distinct()
             front = cut(new.join(done, "v", "left_anti"))
             if front.isEmpty():
                 break
             done = cut(done.union(front))
-        found = done if found is None else found.union(done)
+        found = found.union(done)
         gone = done.select("v")
         arcs = cut(same.select("src", "dst").join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti"))
-    if found is None:
-        return g.vertices.select("v", F.col("v").alias("scc"))
     return g.vertices.join(found, "v", "left").select("v", F.coalesce("scc", "v").alias("scc"))
 
 

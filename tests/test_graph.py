@@ -240,6 +240,23 @@ def test_schedules_and_sweeps(spark, plan):
     assert got(back.edges, "u", "v", "weight") == got(g.edges, "u", "v", "weight")
 
 
+def test_strong_components_of_many_classes(spark, monkeypatch):
+    """Rings apart, one with arcs across it: classes that fit go to tasks, whose rounds don't grow with a ring; others go round by round, to the same rows."""
+    monkeypatch.setattr(kernels, "LOCAL_EDGES", -1)
+    rings = [(k * 10 + i + 1, k * 10 + (i + 1) % 10 + 1) for k in range(4) for i in range(10)]
+    g = graph(spark, 50, rings[:-1] + [(1, 5), (3, 41), (41, 42), (42, 41), (42, 43)], True)
+    want = [(v, (v - 1) // 10 * 10 + 1 if v <= 30 else 41 if v in (41, 42) else v) for v in range(1, 51)]
+    jobs, sc_ = [], spark.sparkContext
+    for bound in (sc.CLASS_EDGES, 10, 0):
+        monkeypatch.setattr(sc, "CLASS_EDGES", bound)
+        sc_.setJobGroup(f"strong {bound}", "")
+        assert got(sc.strong_components(g), "v", "scc") == want
+        jobs.append(len(sc_.statusTracker().getJobIdsForGroup(f"strong {bound}")))
+    sc_.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] < jobs[2] / 2
+    assert got(sc.condensation(g), "u", "v") == [(1, 41), *[(v, v + 1) for v in range(31, 40)], (41, 43)]
+
+
 def test_default_budget(spark):
     wide = graph(spark, 200_000, [(1, 2, 1.0)])
     for table in (ps.johnson, ps.floyd_warshall):
