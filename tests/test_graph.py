@@ -11,6 +11,9 @@ from arcwright.plans.loops import cut
 from arcwright.sources import sinks, text
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
 def graph(spark, n, rows, directed=False):
     schema = "u long, v long" + (", weight double" if rows and len(rows[0]) == 3 else "")
     return Graph.of(spark.createDataFrame(rows, schema), n, directed)
@@ -266,6 +269,24 @@ def test_default_budget(spark):
         ps.replay(wide)
 
 
+@pytest.mark.parametrize("name", ["all_pairs_johnson"])
+def test_whole_tables_of_all_pairs(spark, monkeypatch, name):
+    """Queries make the whole table, however many vertices there are; searches in one task cost what they reach."""
+    from arcwright import catalog
+
+    want = got(catalog.queries()[name](spark, SMALL), *catalog.queries()[name](spark, SMALL).columns)
+    monkeypatch.setattr(ps, "TABLE_BYTES", 1)
+    made = catalog.queries()[name](spark, SMALL)
+    assert got(made, *made.columns) == want and want
+
+
+def test_reach_leaves_nothing_behind(spark):
+    g = graph(spark, 6, [(1, 2, 3.0), (2, 3, 0.0), (1, 3, 4.0), (4, 1, 1.0)], True)
+    reach = kernels.Reach(g.local.value)
+    for _ in range(2):
+        assert [[x.tolist() for x in reach(v)] for v in (4, 1, 6)] == [[[1, 2, 3, 4], [1, 4, 4, 0]], [[1, 2, 3], [0, 3, 3]], [[6], [0]]]
+
+
 def test_replay(spark):
     g = graph(spark, 5, [(1, 2, 3.0), (2, 3, 1.0), (1, 3, 9.0), (3, 4, 2.0)], True)
     low = ps.replay(g)
