@@ -269,7 +269,7 @@ def test_default_budget(spark):
         ps.replay(wide)
 
 
-@pytest.mark.parametrize("name", ["all_pairs_johnson", "all_pairs_squaring"])
+@pytest.mark.parametrize("name", ["all_pairs_johnson", "all_pairs_squaring", "all_pairs_summary"])
 def test_whole_tables_of_all_pairs(spark, monkeypatch, name):
     """Queries make the whole table, however many vertices there are; searches in one task cost what they reach."""
     from arcwright import catalog
