@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arcwright.llm import common
 from arcwright.operators.components import min_labels
-from arcwright.plans.loops import cut
+from arcwright.plans.loops import clear, cut
 
 WORDS = 4
 THRESHOLD = 85
@@ -348,14 +348,21 @@ def components(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD) -> D
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     every = cut(shared_prefixes(docs, n, threshold))
+    clear(docs.sparkSession)
     sets = cut(sets_of(docs, every.where("linked").select("doc_id"), n))
     classes = cut(sets.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")))
     member = sets.select("doc_id", "n", "a", "b").join(classes, ["n", "a", "b"]).select("doc_id", "rep").where("doc_id <> rep")
     # one row for each class: that of its representative
     reps = cut(sets.join(classes.withColumn("doc_id", F.col("rep")), ["doc_id", "n", "a", "b"]).select("rep", "n", "a", "hashes"))
-    cluster = min_labels(candidates(reps, threshold))
+    edges = cut(candidates(reps, threshold))
+    clear(docs.sparkSession)
+    cluster = min_labels(edges)
+    clear(docs.sparkSession)
     clusters = reps.join(cluster.select(F.col("v").alias("rep"), F.col("component").alias("cluster")), "rep")
-    links = cut(verified(clusters, threshold)).union(member.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    found = cut(verified(clusters, threshold))
+    del cluster, clusters, edges
+    clear(docs.sparkSession)
+    links = found.union(member.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     label = min_labels(links)
     return every.join(label, every.doc_id == label.v, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -1,12 +1,14 @@
 import heapq
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from arcwright.model import Cancelled, Graph, GraphError, NegativeCycle, NegativeWeight, NotAcyclic, OverBudget, ParseError, RecursionLimit
 from arcwright.operators import components as cc, diameter as dm, kernels, normalize, paths as ps, representation as rp, stats as st, strong as sc, subgraph as sg, traversal as tr
+from arcwright.plans import loops
 from arcwright.plans.loops import cut
 from arcwright.sources import sinks, text
 
@@ -243,6 +245,29 @@ def test_schedules_and_sweeps(spark, plan):
     assert got(back.edges, "u", "v", "weight") == got(g.edges, "u", "v", "weight")
 
 
+def test_rounds_clear_what_they_forget(spark, monkeypatch):
+    """Shuffles of forgotten plans go while rounds run, not when the driver's memory is full."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def left(most):
+        for _ in range(50):
+            if manager.getAllFiles().size() <= most:
+                break
+            time.sleep(0.1)
+        return manager.getAllFiles().size()
+
+    loops.clear(spark)
+    before = left(0)
+    cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert manager.getAllFiles().size() > before
+    loops.clear(spark)
+    assert left(before) <= before
+    calls = []
+    monkeypatch.setattr(cc, "clear", calls.append)
+    path = spark.range(1, 40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert cc.min_labels(path).where("component <> 1").isEmpty() and calls
+
+
 def test_strong_components_of_many_classes(spark, monkeypatch):
     """Rings apart, one with arcs across it: classes that fit go to tasks, whose rounds don't grow with a ring; others go round by round, to the same rows."""
     monkeypatch.setattr(kernels, "LOCAL_EDGES", -1)
