@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,7 +11,7 @@ from arcwright.operators.components import min_labels
 from arcwright.plans.loops import cut
 
 #: Arcs of a class of vertices, closed under strong connection, that one task searches by itself.
-CLASS_EDGES = 1_000_000
+CLASS_EDGES = 5_000_000
 
 
 def _least(arcs: DataFrame, values: DataFrame) -> DataFrame:
@@ -40,6 +39,11 @@ def _trim(arcs: DataFrame) -> DataFrame:
     return arcs
 
 
+def _task(t: pa.Table) -> pa.Table:
+    v, scc = kernels.strong_of(*(t.column(k).to_numpy() for k in ("src", "dst")))
+    return pa.table({"v": v, "scc": scc})
+
+
 def _apart(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of arcs (src, dst, c) within classes: (v, scc) of the classes that fit in one task, and the arcs of the others."""
     sizes = cut(arcs.groupBy("c").agg(F.count("*").alias("m")))
@@ -49,22 +53,17 @@ def _apart(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     flagged = arcs.join(F.broadcast(sizes.where(F.col("m") > share)), "c", "left")
     key = F.when(F.col("m").isNull(), -1 - F.pmod(F.xxhash64("c"), F.lit(tasks))).otherwise(F.col("c"))
 
-    def run(t: pa.Table) -> pa.Table:
-        src, dst = (t.column(k).to_numpy() for k in ("src", "dst"))
-        v, at = np.unique(np.r_[src, dst], return_inverse=True)
-        _, low = kernels.strong(kernels.Arcs(len(v), at[: len(src)] + 1, at[len(src) :] + 1, np.zeros(len(src))))
-        return pa.table({"v": v, "scc": v[low - 1]})
-
     small = flagged.where(F.coalesce("m", F.lit(0)) <= CLASS_EDGES).select(key.alias("task"), "src", "dst")
-    return small.groupBy("task").applyInArrow(run, "v long, scc long"), flagged.where(F.col("m") > CLASS_EDGES).select("src", "dst", "c")
+    return small.groupBy("task").applyInArrow(_task, "v long, scc long"), flagged.where(F.col("m") > CLASS_EDGES).select("src", "dst", "c")
 
 
 def strong_components(g: Graph) -> DataFrame:
     """(v, scc): scc is the smallest vertex of the component.
 
-    Classes that no strong component crosses are searched each in one task where they fit: first the weak components. Those that
-    are larger go round by round: vertices that cannot be on a cycle are trimmed; the smallest id that reaches a vertex colours
-    it, which gives smaller classes; what reaches the vertex that gave a colour within that colour is its component and leaves.
+    A graph that fits is searched in one task, which gets its arcs from the executors. Of a larger one, classes that no strong
+    component crosses are searched each in one task where they fit: first the weak components. Those that are larger go round by
+    round: vertices that cannot be on a cycle are trimmed; the smallest id that reaches a vertex colours it, which gives smaller
+    classes; what reaches the vertex that gave a colour within that colour is its component and leaves.
     """
     if not g.directed:
         from arcwright.operators.components import labels
@@ -74,13 +73,19 @@ def strong_components(g: Graph) -> DataFrame:
         shared = g.local
         return kernels.once(g.edges.sparkSession, lambda: kernels.strong(shared.value), "v long, scc long")
     arcs = g.arcs.select("src", "dst")
+    found = cut(arcs.groupBy(F.lit(0).alias("task")).applyInArrow(_task, "v long, scc long")) if g.edge_count <= CLASS_EDGES else _by_class(g, arcs)
+    return g.vertices.join(found, "v", "left").select("v", F.coalesce("scc", "v").alias("scc"))
+
+
+def _by_class(g: Graph, arcs: DataFrame) -> DataFrame:
+    """(v, scc) of at least all vertices whose component is not themselves alone."""
     weak = min_labels(g.edges.select("u", "v")).select(F.col("v").alias("src"), F.col("component").alias("c"))
     small, large = _apart(cut(arcs.join(weak, "src")))
     found, arcs = cut(small), cut(large.select("src", "dst"))
     while True:
         arcs = _trim(arcs)
         if arcs.isEmpty():
-            break
+            return found
         vertices = arcs.select(F.col("src").alias("v")).distinct()
         colour = cut(_least(arcs, vertices.select("v", F.col("v").alias("c"))))
         ends = arcs.join(colour.select(F.col("v").alias("src"), "c"), "src").join(colour.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst")
@@ -97,7 +102,6 @@ def strong_components(g: Graph) -> DataFrame:
         found = found.union(done)
         gone = done.select("v")
         arcs = cut(same.select("src", "dst").join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti"))
-    return g.vertices.join(found, "v", "left").select("v", F.coalesce("scc", "v").alias("scc"))
 
 
 def condensation(g: Graph, scc: DataFrame | None = None) -> DataFrame:

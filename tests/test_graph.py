@@ -286,6 +286,19 @@ def test_strong_components_of_many_classes(spark, monkeypatch):
     assert got(sc.condensation(g), "u", "v") == [(1, 41), *[(v, v + 1) for v in range(31, 40)], (41, 43)]
 
 
+def test_strong_components_in_one_task(spark, monkeypatch):
+    """A graph beyond the driver's plan that fits one task takes no rounds, whatever its weak components; it is not gathered by the driver."""
+    monkeypatch.setattr(kernels, "LOCAL_EDGES", -1)
+    for name in ("min_labels", "_trim"):
+        monkeypatch.setattr(sc, name, lambda *a: pytest.fail("a round"))
+    monkeypatch.setattr(kernels, "gathered", lambda *a: pytest.fail("gathered"))
+    g = graph(spark, 30, [*((v, v % 20 + 1) for v in range(1, 21)), (20, 22), (22, 23), (25, 24), (24, 25), (3, 25)], True)
+    assert got(sc.strong_components(g), "v", "scc") == [(v, 1 if v <= 20 else 24 if v == 25 else v) for v in range(1, 31)]
+    assert got(sc.condensation(g), "u", "v") == [(1, 22), (1, 24), (22, 23)]
+    empty = graph(spark, 3, [], True)
+    assert got(sc.strong_components(empty), "v", "scc") == [(1, 1), (2, 2), (3, 3)] and not got(sc.condensation(empty), "u", "v")
+
+
 def test_default_budget(spark):
     wide = graph(spark, 200_000, [(1, 2, 1.0)])
     for table in (ps.johnson, ps.floyd_warshall):
