@@ -7,27 +7,34 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwright.model import Graph, NotAcyclic
 from arcwright.operators import kernels
-from arcwright.operators.components import min_labels
-from arcwright.plans.loops import cut
+from arcwright.operators.components import CLEAR, min_labels
+from arcwright.plans.loops import clear, cut
 
 #: Arcs of a class of vertices, closed under strong connection, that one task searches by itself.
 CLASS_EDGES = 5_000_000
 
 
 def _least(arcs: DataFrame, values: DataFrame) -> DataFrame:
-    """(v, c): the smallest value that reaches v along arcs; values (v, c)."""
-    best, moved = values, values
+    """(v, c): the smallest value that reaches v along arcs; values (v, c) of all vertices on them."""
+    best, turn = cut(values.select("v", "c", F.lit(True).alias("moved"))), 0
     while True:
-        via = arcs.join(moved.select(F.col("v").alias("src"), "c"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("new"))
-        moved = cut(best.join(via, "v").where("new < c").select("v", F.col("new").alias("c")))
-        if moved.isEmpty():
-            return best
-        best = cut(best.join(moved.select("v", F.col("c").alias("new")), "v", "left").select("v", F.least("c", "new").alias("c")))
+        via = arcs.join(best.where("moved").select(F.col("v").alias("src"), "c"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("new"))
+        best = cut(best.join(via, "v", "left").select("v", F.least("c", "new").alias("c"), F.coalesce(F.col("new") < F.col("c"), F.lit(False)).alias("moved")))
+        if best.where("moved").isEmpty():
+            return best.select("v", "c")
+        turn = _turned(arcs, turn)
+
+
+def _turned(rows: DataFrame, turn: int) -> int:
+    """The next turn of a loop; what the driver and the disk hold of former ones is let go now and then."""
+    if (turn + 1) % CLEAR == 0:
+        clear(rows.sparkSession)
+    return turn + 1
 
 
 def _trim(arcs: DataFrame) -> DataFrame:
     """Arcs without those at vertices that have none in or none out, round by round."""
-    n = arcs.count()
+    n, turn = arcs.count(), 0
     while n:
         inner = arcs.select(F.col("src").alias("v")).intersect(arcs.select(F.col("dst").alias("v")))
         kept = cut(arcs.join(inner.withColumnRenamed("v", "src"), "src", "left_semi").join(inner.withColumnRenamed("v", "dst"), "dst", "left_semi"))
@@ -35,10 +42,22 @@ def _trim(arcs: DataFrame) -> DataFrame:
         arcs = kept
         if m == n:
             break
-        n = m
+        n, turn = m, _turned(arcs, turn)
     return arcs
 
 
+def _reached(same: DataFrame) -> DataFrame:
+    """Of arcs (src, dst, c) within classes: (v, scc) of the vertices that reach the vertex c of their class, which is theirs."""
+    ends = same.select(F.col("src").alias("v"), "c").union(same.select(F.col("dst").alias("v"), "c")).distinct()
+    hit, turn = cut(ends.select("v", "c", (F.col("v") == F.col("c")).alias("hit"), (F.col("v") == F.col("c")).alias("moved"))), 0
+    while True:
+        via = same.join(hit.where("moved").select(F.col("v").alias("dst")), "dst").select(F.col("src").alias("v"), F.lit(True).alias("new")).distinct()
+        hit = cut(hit.join(via, "v", "left").select("v", "c", (F.col("hit") | F.col("new").isNotNull()).alias("hit"), (~F.col("hit") & F.col("new").isNotNull()).alias("moved")))
+        if hit.where("moved").isEmpty():
+            return hit.where("hit").select("v", F.col("c").alias("scc"))
+        turn = _turned(same, turn)
+
+
 def _task(t: pa.Table) -> pa.Table:
     v, scc = kernels.strong_of(*(t.column(k).to_numpy() for k in ("src", "dst")))
     return pa.table({"v": v, "scc": scc})
@@ -82,6 +101,7 @@ def _by_class(g: Graph, arcs: DataFrame) -> DataFrame:
     weak = min_labels(g.edges.select("u", "v")).select(F.col("v").alias("src"), F.col("component").alias("c"))
     small, large = _apart(cut(arcs.join(weak, "src")))
     found, arcs = cut(small), cut(large.select("src", "dst"))
+    del weak, small, large  # plans that are held hold their files
     while True:
         arcs = _trim(arcs)
         if arcs.isEmpty():
@@ -91,17 +111,12 @@ def _by_class(g: Graph, arcs: DataFrame) -> DataFrame:
         ends = arcs.join(colour.select(F.col("v").alias("src"), "c"), "src").join(colour.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst")
         small, large = _apart(cut(ends.where("c = cd").select("src", "dst", "c")))
         found, same = found.union(cut(small)), cut(large)
-        done = cut(same.select(F.col("c").alias("v")).distinct().select("v", F.col("v").alias("scc")))
-        front = done
-        while True:
-            new = same.join(front.select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v"), F.col("c").alias("scc")).distinct()
-            front = cut(new.join(done, "v", "left_anti"))
-            if front.isEmpty():
-                break
-            done = cut(done.union(front))
-        found = found.union(done)
+        del vertices, colour, ends, small, large
+        done = _reached(same)
+        found = cut(found.union(done))
         gone = done.select("v")
         arcs = cut(same.select("src", "dst").join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti"))
+        del same, done, gone
 
 
 def condensation(g: Graph, scc: DataFrame | None = None) -> DataFrame:

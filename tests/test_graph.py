@@ -299,6 +299,17 @@ def test_strong_components_in_one_task(spark, monkeypatch):
     assert got(sc.strong_components(empty), "v", "scc") == [(1, 1), (2, 2), (3, 3)] and not got(sc.condensation(empty), "u", "v")
 
 
+def test_strong_rounds_let_go(spark, monkeypatch):
+    """Rounds of larger graphs let go of former ones, and find what the search in one task finds."""
+    monkeypatch.setattr(kernels, "LOCAL_EDGES", -1)
+    monkeypatch.setattr(sc, "CLASS_EDGES", 0)
+    calls = []
+    monkeypatch.setattr(sc, "clear", calls.append)
+    g = graph(spark, 11, [(1, 2), (2, 3), (3, 4), (4, 1), (3, 6), (6, 7), (7, 6), (8, 9), (9, 8), (9, 3), (7, 10), (10, 11)], True)
+    assert got(sc.strong_components(g), "v", "scc") == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 6), (7, 6), (8, 8), (9, 8), (10, 10), (11, 11)]
+    assert len(calls) >= 2
+
+
 def test_default_budget(spark):
     wide = graph(spark, 200_000, [(1, 2, 1.0)])
     for table in (ps.johnson, ps.floyd_warshall):
